@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import scratch, text_or_empty, written
+from legajo.llm.common import arrow_map, scratch, text_or_empty, written
 
 SAMPLES = 64
 SHARD_BYTES = 1 << 28
@@ -111,7 +111,7 @@ def store(docs: DataFrame, root: str) -> DataFrame:
         shards.close()
 
     schema = "doc_id long, n_bytes long, payload_bytes long, digest string, shard string, offset long, length long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    rows = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), run, schema)
     return written(rows, "manifest")
 
 
@@ -164,7 +164,7 @@ def _described(manifest: DataFrame, root: str, whole: bool) -> DataFrame:
 
     simple = {pa.string(): "string", pa.int64(): "long", pa.int32(): "int"}
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in manifest.schema] + [f"{k} {simple[v]}" for k, v in kinds.items()])
-    return manifest.mapInArrow(run, schema)
+    return arrow_map(manifest, run, schema)
 
 
 def describe(media: bytes, payload: bytes) -> dict:

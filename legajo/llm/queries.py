@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.llm import bpe, media, token_count
+from legajo.llm import bpe, langid, media, token_count, toxicity
 from legajo.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,16 +16,24 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_media, op7_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op2_media, op5_language, op7_token_counts, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

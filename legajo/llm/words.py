@@ -11,6 +11,7 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xC2B2AE3D27D4EB4F | 1
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -42,14 +43,15 @@ def _rolling(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Word starts and ends (byte offsets), per-row word offsets ``rows`` and 64-bit word hashes."""
 
-    def __init__(self, column: pa.Array, lower: bool):
+    def __init__(self, column: pa.Array, lower: bool, breaks: np.ndarray = SPACES):
+        """breaks: of each byte, whether it ends a word."""
         data, offsets = text_buffers(column)
         if lower and len(data):
             data = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
         self.data = data
         n = len(data)
         solid = np.zeros(n + 2, bool)
-        solid[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        solid[1:-1] = ~breaks[data]
         first = np.zeros(n + 1, bool)
         first[offsets] = True
         starts = solid[1:-1] & (~solid[:-2] | first[:-1])
