@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from legajo.llm import bpe, jaccard, langid, media, mixing, sharding, substring, token_count, toxicity
+from legajo.llm import bpe, jaccard, langid, media, mixing, nndescent, sharding, substring, token_count, toxicity
 from legajo.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_media, op3_jaccard_join, op4_substring_dedup, op5_language, op7_token_counts, op8_mixing, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_media, op3_jaccard_join, op4_substring_dedup, op5_language, op6_embedding_dedup, op7_token_counts, op8_mixing, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
