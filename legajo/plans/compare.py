@@ -90,8 +90,11 @@ def recommendations(runs: DataFrame, keys: list[str] | None = None) -> DataFrame
 
 def findings(results: DataFrame) -> DataFrame:
     """One row for each finding: doc_id, tipo_documento, list, code, severity, field, evidence."""
-    rows = lambda c: results.select("doc_id", "tipo_documento", F.lit(c).alias("list"), F.explode(c).alias("f"))
-    return rows("errores_detectados").union(rows("alertas")).select("doc_id", "tipo_documento", "list", "f.code", "f.severity", "f.field", "f.evidence")
+    tagged = lambda c: F.transform(c, lambda f: F.struct(F.lit(c).alias("list"), f.alias("f")))
+    both = F.concat(tagged("errores_detectados"), tagged("alertas"))
+    # outer, since a plain explode would push copies of the whole rule table below as a filter
+    rows = results.select("doc_id", "tipo_documento", F.explode_outer(both).alias("x")).where("x is not null")
+    return rows.select("doc_id", "tipo_documento", "x.list", "x.f.code", "x.f.severity", "x.f.field", "x.f.evidence")
 
 
 def findings_by_code(results: DataFrame) -> DataFrame:
