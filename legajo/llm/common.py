@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +47,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: later readers don't depend on executors."""
+def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: later readers don't depend on executors.
+
+    compact: for results of a shuffle, as many files as the cluster has cores instead of one for each shuffle partition.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    (df.coalesce(spark.sparkContext.defaultParallelism) if compact else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and held on the executors' disks, for steps of one call; a lost executor's part is computed again.
+
+    The caller gives it back by ``unpersist`` as soon as what it feeds is written.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a ``written`` table that nothing reads any more."""
     spark = df.sparkSession

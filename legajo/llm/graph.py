@@ -26,12 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root of every node with an edge; root is the least node of its component. edges: two long columns."""
     u, v = edges.columns
     now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u != v").distinct()
-    now, mark = written(now, "edges"), None
+    now, mark = written(now, "edges", True), None
     while True:
         told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(told) == mark or told[0] == 0:
             break
         mark = tuple(told)
-        then, now = now, written(_star(now), "edges")
+        then, now = now, written(_star(now), "edges", True)
         drop_scratch(then)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

@@ -190,10 +190,10 @@ def _refined(nodes: DataFrame, lists: DataFrame, floor: float) -> DataFrame:
 
 def _descend(nodes: DataFrame, start: DataFrame, floor: float, n: int) -> DataFrame:
     """Lists after refining the lists of ``start`` (u, v, s, new)."""
-    lists = written(_lists(start, floor), "lists")
+    lists = written(_lists(start, floor), "lists", True)
     for _ in range(STEPS):
         found = _refined(nodes, lists, floor).withColumn("new", F.lit(True))
-        then, lists = lists, written(_lists(lists.withColumn("new", F.lit(False)).union(found), floor), "lists")
+        then, lists = lists, written(_lists(lists.withColumn("new", F.lit(False)).union(found), floor), "lists", True)
         changed = lists.where("new").count()
         drop_scratch(then)
         if changed <= CHANGED * K * n:
@@ -265,16 +265,16 @@ def links(nodes: DataFrame, threshold: float) -> DataFrame:
         start = _seeded(nodes, range(r * ORDERS, (r + 1) * ORDERS), floor).withColumn("new", F.lit(True))
         lists = _descend(nodes, start if lists is None else start.unionByName(lists.withColumn("new", F.lit(False))), floor, n)
         near = lists.where(F.col("s") >= floor)
-        pairs = written(_exact(nodes, near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), threshold), "links")
+        pairs = written(_exact(nodes, near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), threshold), "links", True)
         label = components(pairs)
         saturated = near.groupBy("u").count().where(F.col("count") >= K_MOST).select(F.col("u").alias("node"))
         roots = saturated.join(label, "node").select("root").distinct()
-        members = written(label.join(roots, "root").select("root", F.col("node").alias("id")), "members")
+        members = written(label.join(roots, "root").select("root", F.col("node").alias("id")), "members", True)
         each = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a")).join(members, "id", "left_anti")
         few = each.join(nodes.select(F.col("id").alias("other"), "weight"), "other").groupBy("id").agg(F.sum("weight").alias("n"))
         counts = few.union(_scanned(nodes, members, threshold))
         result = nodes.select("id").join(counts, "id", "left").join(label, F.col("id") == F.col("node"), "left")
-        result = written(result.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "id").alias("root")), "result")
+        result = written(result.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "id").alias("root")), "result", True)
         if audit(nodes, result, threshold) >= RECALL:
             break
     return result

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import arrow_map, bitmap_of, chunks, drop_scratch, text_or_empty, written
+from legajo.llm.common import arrow_map, bitmap_of, chunks, kept, text_or_empty, written
 from legajo.llm.words import Words
 
 LENGTH, GRAM, BITS = 50, 20, 23
@@ -86,39 +86,38 @@ def _seeded(docs: DataFrame, live, length: int, gram: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, th, begin, end: word intervals whose windows also start in a document with a smaller id.
+    """doc_id, th, marks: word intervals (begin, end) of each document whose windows also start in one with a smaller id.
 
     docs: doc_id (long), th (hash of the text), text (never null).
     """
     docs = docs.where("doc_id is not null").select("doc_id", "th", "text")
     shared = _anchors(docs, length, gram).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi")
     live = docs.sparkSession.sparkContext.broadcast(bitmap_of(shared, "anchor", BITS))
-    seeds = written(_seeded(docs, live, length, gram), "seeds")
+    seeds = kept(_seeded(docs, live, length, gram))
 
     kinds = seeds.groupBy("anchor", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     several = kinds.groupBy("anchor").agg((F.min("run") != F.max("run")).alias("several"))
     kinds = kinds.join(several, "anchor").where("several or first != last")
     found = seeds.join(kinds, ["anchor", "run"])
     mine = F.col("doc_id") == F.col("first")
-    settled = written(
-        found.where(~mine | F.col("several")).select("doc_id", "th", "start", "n", (~mine).alias("whole"), F.when(mine, F.col("windows")).alias("windows")),
-        "settled",
-    )
-    drop_scratch(seeds)
+    settled = kept(found.where(~mine | F.col("several")).select("doc_id", "th", "start", "n", (~mine).alias("whole"), F.when(mine, F.col("windows")).alias("windows")))
+    seeds.unpersist()
     whole = settled.where("whole").select("doc_id", "th", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + length).alias("end"))
     each = settled.where("not whole").select("doc_id", "th", "start", F.posexplode("windows").alias("k", "window")).select("doc_id", "th", "window", (F.col("start") + F.col("k")).alias("begin"))
     least = each.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("window", "first")
     some = each.join(least, "window").where(F.col("doc_id") > F.col("first")).select("doc_id", "th", "begin", (F.col("begin") + length).alias("end"))
-    return whole.union(some)
+    marks = written(whole.union(some).groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("marks")), "marks", True)
+    settled.unpersist()
+    return marks
 
 
 def _with_marks(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """``docs`` with th, filled text and ``marks``, the intervals of each row."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     plain = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
-    marks = repeated_windows(plain, length, gram).groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("marks"))
+    marks = repeated_windows(plain, length, gram)
     marks = marks.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.transform("marks", lambda m: m["begin"]).alias("_begin"), F.transform("marks", lambda m: m["end"]).alias("_end"))
-    return docs.join(marks, (F.col("doc_id") == F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_th")), "left").drop("_id", "_th")
+    return docs.join(marks.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_th")), "left").drop("_id", "_th")
 
 
 def kept_mask(n: int, begin: list[int], end: list[int]) -> np.ndarray:
