@@ -157,23 +157,31 @@ def encoder(path: str) -> SegmentTreeBpe:
     return SegmentTreeBpe(path)
 
 
-def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ``ids`` and ``decoded`` of every text."""
+def encode(docs: DataFrame, path: str | None = None, ids: str = "none", decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text.
+
+    ids: "array" or "binary" (little-endian unsigned 32-bit) adds the ids; decoded adds the decoded text.
+    """
     path = path or vocabulary_path()
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
+    kinds = {"none": "", "array": ", ids array<long>", "binary": ", ids binary"}
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + kinds[ids] + ", decoded string" * decoded
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = encoder(path)
         coded = bpe.encode_batch(batch.column("text").to_pylist())
-        texts = [bpe.decode(ids) for ids in coded]
+        texts = [bpe.decode(x) for x in coded]
         out = {
             "doc_id": batch.column("doc_id"),
             "n_tokens": pa.array([len(x) for x in coded], pa.int64()),
             "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in coded], pa.string()),
             "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
         }
-        if with_ids:
-            out |= {"ids": pa.array([x.tolist() for x in coded], pa.list_(pa.int64())), "decoded": pa.array(texts, pa.string())}
+        if ids == "array":
+            out["ids"] = pa.array([x.tolist() for x in coded], pa.list_(pa.int64()))
+        if ids == "binary":
+            out["ids"] = pa.array([x.tobytes() for x in coded], pa.binary())
+        if decoded:
+            out["decoded"] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_pydict(out)
 
     docs = docs.withColumn("doc_id", docs["doc_id"].cast("long"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.llm.common import arrow_map, text_or_empty, written
-from legajo.llm.words import WORD_SQL, mix
+from legajo.llm.words import WORD_SQL, Words, mix
 
 BLOCK, SHARDS, BUCKETS, SLICE = 256, 64, 1024, 1 << 16
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
@@ -142,25 +142,27 @@ def _slots(spark, plan: list[tuple], shards: int, seed: int) -> DataFrame:
 def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 8) -> tuple[DataFrame, DataFrame]:
     """The documents with their place in their source and its target, and the taken pieces.
 
-    Documents: doc_id, size, sid, source_size, target, bucket and nth (with sid, its key) and start (first word in the source).
+    Documents: doc_id, size, sid, source_size, target, source, bucket and nth (with sid, its key), nth_alike (among rows of the same id,
+    source and size) and start (first word in the source).
     Pieces: the same with shard, slot, from and to (words of the document, from <= to); documents that nothing is taken of have one piece without shard.
     """
     spark, slim = docs.sparkSession, written(sized(docs), "sizes")
     plan = _plan(slim.groupBy("source").agg(F.sum("size").alias("size")).collect(), BLOCK, seed)
     table = spark.createDataFrame([(s, i, n, t) for s, i, n, t, *_ in plan], "name string, sid int, source_size long, target double")
-    named = slim.join(table, F.col("source").eqNullSafe(F.col("name"))).drop("source", "name")
+    named = slim.join(table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     named = named.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(BUCKETS)).cast("int"))
     sums = named.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).drop("n")
     order = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size")
     inner = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = named.withColumn("upto", inner).withColumn("nth", F.row_number().over(order)).join(sums, ["sid", "bucket"])
-    placed = placed.select("doc_id", "size", "sid", "source_size", "target", "bucket", "nth", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
+    placed = named.withColumn("upto", inner).withColumn("nth", F.row_number().over(order))
+    placed = placed.withColumn("nth_alike", F.row_number().over(Window.partitionBy("sid", "bucket", "doc_id", "size").orderBy("nth"))).join(sums, ["sid", "bucket"])
+    placed = placed.select("doc_id", "size", "sid", "source_size", "target", "source", "bucket", "nth", "nth_alike", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
     first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     blocks = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     joined = blocks.join(_slots(spark, plan, shards, seed), ["sid", "block"], "left")
     origin = F.col("block") * BLOCK - F.col("start")
-    pieces = joined.select("doc_id", "size", "sid", "source_size", "target", "bucket", "nth", "shard", "slot", F.greatest(F.lit(0), origin).alias("from"), F.least("size", origin + F.col("words")).alias("to"))
+    pieces = joined.select("doc_id", "size", "sid", "source_size", "target", "source", "bucket", "nth", "nth_alike", "shard", "slot", F.greatest(F.lit(0), origin).alias("from"), F.least("size", origin + F.col("words")).alias("to"))
     return placed, pieces.withColumn("to", F.when(F.col("shard").isNotNull(), F.greatest("to", "from")))
 
 
@@ -169,3 +171,48 @@ def mixture(docs: DataFrame) -> DataFrame:
     _, pieces = mix_documents(docs)
     taken = F.sum(F.coalesce(F.col("to") - F.col("from"), F.lit(0))).cast("long").alias("taken")
     return pieces.groupBy("doc_id", "size", "sid", "bucket", "nth", "source_size", "target").agg(taken).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def chosen(begin: list[int], end: list[int]) -> list[list[tuple[int, int]]]:
+    """Word runs in reading order, neighbours united; what is taken twice makes a second list."""
+    layers: list[list[tuple[int, int]]] = [[], []]
+    seen: set[int] = set()
+    for a, b in sorted(zip(begin, end, strict=True)):
+        layer = layers[a in seen]
+        seen.add(a)
+        if layer and layer[-1][1] == a:
+            layer[-1] = (layer[-1][0], b)
+        else:
+            layer.append((a, b))
+    return [x for x in layers if x]
+
+
+def mixed_texts(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with the taken words as text: pieces keep their white space, a whole text stays as it is.
+
+    Rows that share id, source and size get the pieces of one of them; rows that nothing is taken of go.
+    """
+    names = docs.columns
+    at = names.index("text")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    _, pieces = mix_documents(docs)
+    taken = pieces.where("shard is not null and to > from and nth_alike = 1")
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.collect_list(F.struct("from", "to")).alias("p"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.transform("p", lambda x: x["from"]).alias("_begin"), F.transform("p", lambda x: x["to"]).alias("_end"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.regexp_count(text_or_empty(), F.lit(WORD_SQL)) == F.col("_size"))
+    joined = docs.join(taken.hint("shuffle_hash"), same).drop("_id", "_source", "_size")
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for text, begin, end in zip(batch.column(at), batch.column("_begin").to_pylist(), batch.column("_end").to_pylist(), strict=True):
+                words = Words(pa.array([text.as_py()], pa.string()), False)
+                raw, n = words.data.tobytes(), len(words.starts)
+                parts = []
+                for layer in chosen(begin, end):
+                    parts.append("".join(raw[(words.ends[a - 1] if k and a else 0 if not a else words.starts[a]) : (len(raw) if b == n else words.ends[b - 1])].decode() for k, (a, b) in enumerate(layer)))
+                texts.append("\n".join(parts))
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return arrow_map(joined, run, docs.schema)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from legajo.llm import bpe, jaccard, langid, media, mixing, nndescent, sharding, substring, token_count, toxicity
 from legajo.sources.tables import read_table
 
@@ -53,8 +54,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_media, op3_jaccard_join, op4_substring_dedup, op5_language, op6_embedding_dedup, op7_token_counts, op8_mixing, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_media, op3_jaccard_join, op4_substring_dedup, op5_language, op6_embedding_dedup, op7_token_counts, op8_mixing, op9_toxicity, op10_bpe)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

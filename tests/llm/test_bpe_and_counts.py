@@ -53,7 +53,7 @@ def test_queries_on_odd_rows(spark, library):
     got = sorted(((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.count_tokens(docs).collect()))
     tokens = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
     assert got == sorted((i or 0, len((t or "").encode()), tokens(t), tokens(t) > 1024) for i, t, *_ in rows)
-    coded = {r.doc_id: r for r in bpe.encode(docs, with_ids=True).collect()}
+    coded = {r.doc_id: r for r in bpe.encode(docs, ids="array", decoded=True).collect()}
     assert coded[3].ids == library.encode(rows[2][1], add_special_tokens=False).ids
     assert coded[3].decoded == rows[2][1] and coded[1].n_tokens == 0
     assert coded[1].ids_sha256 == hashlib.sha256(b"").hexdigest()
