@@ -18,7 +18,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(read_table(spark, sf_dir, "documents"))
+    return media.media_columns(read_table(spark, sf_dir, "documents")).drop("shard", "offset", "length")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
