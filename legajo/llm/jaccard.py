@@ -1,13 +1,14 @@
 """Operator 3: n-gram Jaccard join with set-relation skipping, as components of documents.
 
 Sets are the distinct word shingles of a text, as 64-bit hashes. Equal sets become one set first. Each set lists
-its prefix (of n elements the first n - ceil(0.8 n) + 1) in one global order: elements that some batch has in several
-sets come last, else by hash. Two linked sets share an element of their prefixes.
+its prefix (of n elements the first n - ceil(0.8 n) + 1) in one global order: the most frequent elements, as many as a
+bitmap of fixed size holds well, come last, else by hash. Two linked sets share an element of their prefixes.
 
 Answers are derived from highly similar sets in two rounds. Round one verifies each index list's entries against the
-list's first set only; what links shares one component, i.e. takes over that set's answers. Round two looks only at lists whose entries
+list's most central set only (the one with the fewest rare elements before); what links shares one component, i.e. takes over that set's answers. Round two looks only at lists whose entries
 are still in different components, and only for pairs across them. There, a list is cut into blocks by set size, and an
-entry's position bounds the sizes that can still reach the overlap, so it skips all other blocks. Verification is exact on whole sets
+entry's position bounds the sizes that can still reach the overlap, so it skips all other blocks. Parity bitmaps of the
+sets, a lower bound of their difference, then reject most pairs that share a passage only. Verification is exact on whole sets
 (up to hash collisions). Pairs within a component are never emitted, so a group of near copies costs its lists, not its square.
 
 All texts are mapped in numpy (free style); the lists of common elements are salted for the count and split by AQE in the joins. What is
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from legajo.llm.common import arrow_map, bitmap_of, chunks, drop_scratch, text_or_empty, written
+from legajo.llm.common import arrow_map, bitmap_of, chunks, kept, text_or_empty, written
 from legajo.llm.graph import components
 from legajo.llm.words import Words, mix, shingle_sets
 
-WORDS_EACH, BITS, LOCAL_SETS, SALTS = 5, 23, 3, 32
+WORDS_EACH, BITS, LOCAL_SETS, SALTS = 5, 23, 2, 32
+#: Longs of the bitmap of a set below each size.
+SIGNATURES = ((600, 8), (2400, 32), (float("inf"), 128))
 #: Linked if DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
 GROWTH = 1.06
@@ -52,47 +55,60 @@ def _sets(batch: pa.RecordBatch, k: int):
         yield part, shingle_sets(Words(part.column("text"), True), k)
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set, longer for larger sets: two sets differ in at least as many elements as their bitmaps do in bits.
+
+    Folding a longer one by XOR gives the shorter one, so bitmaps of different length compare.
+    """
+    bits = 64 * next(longs for most, longs in SIGNATURES if len(tokens) < most)
+    odd = np.bincount((mix(tokens) >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: doc_id, n, set of each document; and w, b, words of the bitmap of common elements."""
-    mask = np.uint64((1 << BITS) - 1)
+    """Rows of two kinds: doc_id, n, set, sig of each document; and token, count of elements that several sets of a batch have."""
 
     def run(batches):
         for batch in batches:
-            ids, sizes, names, common = [], [], [], {}
+            ids, sizes, names, sigs, distinct = [], [], [], [], {}
             for part, sets in _sets(batch, k):
                 ids += part.column("doc_id").to_pylist()
                 sizes += map(len, sets)
                 found = [set_id(s) for s in sets]
                 names += found
-                common |= zip(found, sets, strict=True)
-            rows = [np.zeros(0, np.uint64)]
-            if common:
-                every = np.sort(np.concatenate(list(common.values())))
-                first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
-                often = every[first[np.diff(np.append(first, len(every))) >= LOCAL_SETS]]
-                rows = [np.unique(often & mask)]
-            cell, at = np.unique(rows[0] >> np.uint64(6), return_inverse=True)
-            bits = np.zeros(len(cell), np.uint64)
-            np.bitwise_or.at(bits, at, np.uint64(1) << (rows[0] & np.uint64(63)))
-            n, m = len(ids), len(cell)
+                sigs += [signature(s) for s in sets]
+                distinct |= zip(found, sets, strict=True)
+            every = np.sort(np.concatenate([np.zeros(0, np.uint64), *distinct.values()]))
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]]))
+            count = np.diff(np.append(first, len(every)))
+            often = count >= LOCAL_SETS
+            token, count = every[first[often]].view(np.int64), count[often]
+            n, m = len(ids), len(token)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(ids + [None] * m, pa.int64()),
                     "n": pa.array(sizes + [None] * m, pa.int32()),
                     "set": pa.array(names + [None] * m, pa.int64()),
-                    "w": pa.array([None] * n + cell.astype(np.int64).tolist(), pa.int32()),
-                    "b": pa.array([None] * n + bits.view(np.int64).tolist(), pa.int64()),
+                    "sig": pa.array(sigs + [None] * m, pa.list_(pa.int64())),
+                    "token": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(token, pa.int64())]),
+                    "count": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(count, pa.int64())]),
                 }
             )
 
-    return arrow_map(docs, run, "doc_id long, n int, set long, w int, b long")
+    return arrow_map(docs, run, "doc_id long, n int, set long, sig array<long>, token long, count long")
 
 
-def _common(rows: DataFrame) -> np.ndarray:
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    for r in rows.where("w is not null").groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        out[r.w] = np.uint64(r.b & 0xFFFFFFFFFFFFFFFF)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+def _common(profile: DataFrame) -> np.ndarray:
+    """Bitmap of the most frequent elements, as many as fill an eighth of it."""
+    counts = profile.where("token is not null").groupBy("token").agg(F.sum("count").alias("count"))
+    level = F.floor(F.log2("count") * 8).alias("level")
+    left, least = 1 << (BITS - 3), None
+    for r in counts.groupBy(level).count().orderBy(F.desc("level")).collect():  # a row for each eighth of a power of two
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    return bitmap_of(counts.where(level >= least) if least is not None else counts.limit(0), "token", BITS)
 
 
 def _lists(docs: DataFrame, common, k: int, num: int, den: int) -> DataFrame:
@@ -157,31 +173,59 @@ def _may_link(n1, pos1, n2, pos2, num: int, den: int):
     return room * (num + den) >= (n1 + n2).cast("long") * num
 
 
+def _top(num: int, den: int):
+    """Greatest size of a partner that an entry's position leaves room for."""
+    return F.floor((F.col("n") - F.col("pos")).cast("long") * (num + den) / num) - F.col("n")
+
+
+def _apart(x: str, y: str):
+    """Bits in which two parity bitmaps differ, the longer one folded."""
+    m = f"least(size({x}), size({y}))"
+    fold = lambda c: f"aggregate(sequence(i, size({c}) - 1, {m}), 0L, (a, j) -> a ^ element_at({c}, j + 1))"
+    return F.expr(f"aggregate(sequence(0, {m} - 1), 0L, (t, i) -> t + bit_count({fold(x)} ^ {fold(y)}))")
+
+
+def _plausible(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs a, b whose bitmaps leave it possible that few enough elements differ, with ``apart``, the bits that differ."""
+    one, other = (sigs.select(*[F.col(c).alias(f"{side}_{c}") for c in sigs.columns]) for side in "xy")
+    both = pairs.join(one, F.col("a") == F.col("x_set")).join(other, F.col("b") == F.col("y_set")).withColumn("apart", _apart("x_sig", "y_sig"))
+    return both.where(F.col("apart") * (num + den) <= (F.col("x_n") + F.col("y_n")).cast("long") * (den - num)).select("a", "b", "apart")
+
+
 def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links) of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     profile = written(_profile(docs, k), "profile")
-    rows = profile.where("w is null").select("doc_id", "n", "set")
+    rows = profile.where("token is null").select("doc_id", "n", "set")
+    sigs = profile.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     common = spark.sparkContext.broadcast(_common(profile))
     salt = F.when(F.col("hot"), F.pmod("set", F.lit(SALTS))).otherwise(F.lit(0))
-    each = Window.partitionBy("token", salt)
-    listed = _lists(docs, common, k, num, den).withColumn("least", F.min("set").over(each)).withColumn("most", F.max("set").over(each))
-    live = written(listed.where("hot or least != most").select("token", "set", "n", "pos"), "lists")
-
-    # Round one: each list's entries against the list's first set.
-    first = live.groupBy("token").agg(F.min(F.struct("set", "n", "pos")).alias("f"), F.max("set").alias("most")).where("f.set != most").select("token", "f")
+    # An entry stays if its list has another set and the next size above or below allows a link; of a common element, all stay.
+    each = Window.partitionBy("token", "salt").orderBy("n")
+    whole = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = _lists(docs, common, k, num, den).withColumn("salt", salt).withColumn("least", F.min("set").over(whole)).withColumn("most", F.max("set").over(whole))
+    listed = listed.withColumn("above", F.lead("n").over(each)).withColumn("below", F.lag("n").over(each))
+    sized = (F.col("above") <= _top(num, den)) | (F.col("below").cast("long") * den >= F.col("n").cast("long") * num)
+    listed = listed.where(F.col("hot") | ((F.col("least") != F.col("most")) & F.coalesce(sized, F.lit(False))))
+    # equal rows of equal sets from several batches go here, where they already lie together
+    live = kept(listed.dropDuplicates(["token", "salt", "set"]).select("token", "set", "n", "pos"))
+
+    # Round one: each list's entries against its most central set, and of those only the nearest.
+    first = live.groupBy("token").agg(F.min(F.struct("pos", "set", "n")).alias("f"), F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi").select("token", "f")
     star = live.join(first, "token").where((F.col("set") != F.col("f.set")) & _may_link(F.col("n"), F.col("pos"), F.col("f.n"), F.col("f.pos"), num, den))
-    tried = written(star.select(F.col("f.set").alias("a"), F.col("set").alias("b")).distinct(), "pairs")
-    links = written(_linked(tried, _wanted(docs, tried, rows, k), num, den), "links")
+    pairs = _plausible(star.select(F.col("f.set").alias("a"), F.col("set").alias("b")).distinct(), sigs, num, den)
+    nearest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m"))  # others wait for round two
+    tried = written(nearest.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct(), "pairs", True)
+    links = written(_linked(tried, _wanted(docs, tried, rows, k), num, den), "links", True)
     label = components(links)
 
     # Round two: pairs across components within a list, block by block.
-    entry = live.join(label, live["set"] == label["node"], "left").select("token", "set", "n", "pos", F.coalesce("root", "set").alias("comp")).distinct()
+    entry = live.join(label, live["set"] == label["node"], "left").select("token", "set", "n", "pos", F.coalesce("root", "set").alias("comp"))
     mixed = entry.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    entry = written(entry.join(mixed, "token"), "mixed")
+    entry = written(entry.join(mixed, "token"), "mixed", True)
     # Seen from the smaller (or equal) set, the partner's size is at least its own and at most what its position allows.
-    top = F.floor((F.col("n") - F.col("pos")).cast("long") * (num + den) / num) - F.col("n")
+    top = _top(num, den)
     block = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(GROWTH)))
     probe = entry.where(top >= F.col("n")).withColumn("block", F.explode(F.sequence(block(F.col("n")), block(top))))
     left, right = probe.alias("l"), entry.withColumn("block", block(F.col("n"))).alias("r")
@@ -189,11 +233,11 @@ def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: i
     fits = _may_link(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"), num, den)
     met = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.comp") != F.col("r.comp")) & ordered & fits)
     pairs = met.select(F.least("l.set", "r.set").alias("a"), F.greatest("l.set", "r.set").alias("b")).distinct()
-    again = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    again = written(_plausible(pairs.join(tried, ["a", "b"], "left_anti"), sigs, num, den).select("a", "b"), "pairs", True)
     if not again.isEmpty():
         more = _linked(again, _wanted(docs, again, rows, k), num, den)
-        label = components(written(links.union(more), "links"))
-    drop_scratch(live)
+        label = components(written(links.union(more), "links", True))
+    live.unpersist()
 
     named = rows.join(label, rows["set"] == label["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "set")).alias("comp"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
