@@ -16,7 +16,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         grown = np.full(max(n, 1 << 16), base, np.uint64)
         grown[0] = 1
         np.multiply.accumulate(grown, out=grown)
