@@ -24,7 +24,7 @@ from legajo.llm.common import map_texts
 
 NONE = np.int64(1) << np.int64(62)
 #: Distinct pre-tokens that a worker remembers before it forgets them all.
-CACHE = 300_000
+CACHE = 150_000
 #: Pre-token pattern of the byte-level scheme (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -185,4 +185,4 @@ def encode(docs: DataFrame, path: str | None = None, ids: str = "none", decoded:
         return pa.RecordBatch.from_pydict(out)
 
     docs = docs.withColumn("doc_id", docs["doc_id"].cast("long"))
-    return map_texts(docs, ["doc_id", "text"], run, schema)
+    return map_texts(docs, ["doc_id", "text"], run, schema, lambda: encoder(path).cache.clear())

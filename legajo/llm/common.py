@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes.util
 import os
+import re
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +22,9 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 #: Bytes of text that one numpy step holds; a longer document makes a step of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and a worker, where the session allows more.
+BATCH_BYTES = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,11 +81,37 @@ def drop_scratch(df: DataFrame) -> None:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` whose workers find this package where the driver does."""
+    """``mapInArrow`` whose workers find this package where the driver does, in batches of bounded bytes.
+
+    Workers are used again by later tasks, so each task gives back what its allocators hold at its end.
+    """
     env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), root]))
-    return df.mapInArrow(fn, schema)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = df.sparkSession.conf.get(key, None)
+    if most is None or _as_bytes(most) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, BATCH_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _as_bytes(value: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]?)b?", str(value).lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(libc), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
 
 
 def text_or_empty(name: str = "text"):
@@ -92,14 +123,15 @@ def id_crc(name: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
 
 
-def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches of ``columns``, cut into chunks of bounded text; ``text`` is never null there."""
+def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, at_end: Callable[[], None] = lambda: None) -> DataFrame:
+    """``fn`` over Arrow batches of ``columns``, cut into chunks of bounded text; ``text`` is never null there. at_end: called by each task."""
     want = df.select(*[text_or_empty().alias("text") if c == "text" else F.col(c) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 yield fn(part)
+        at_end()
 
     return arrow_map(want, run, schema)
 

@@ -66,23 +66,29 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: doc_id, n, set, sig of each document; and token, count of elements that several sets of a batch have."""
+    """Rows of two kinds: doc_id, n, set, sig of each document; and token, count of elements that several sets of a batch have.
+
+    Elements are counted by their low 32 bits: one counted with another's share comes later in the order, which any order may.
+    """
 
     def run(batches):
         for batch in batches:
-            ids, sizes, names, sigs, distinct = [], [], [], [], {}
+            ids, sizes, names, sigs, seen, halves = [], [], [], [], set(), [np.zeros(0, np.uint32)]
             for part, sets in _sets(batch, k):
                 ids += part.column("doc_id").to_pylist()
                 sizes += map(len, sets)
-                found = [set_id(s) for s in sets]
-                names += found
                 sigs += [signature(s) for s in sets]
-                distinct |= zip(found, sets, strict=True)
-            every = np.sort(np.concatenate([np.zeros(0, np.uint64), *distinct.values()]))
+                for s in sets:
+                    names.append(set_id(s))
+                    if names[-1] not in seen:
+                        seen.add(names[-1])
+                        halves.append(s.astype(np.uint32))
+            every, halves = np.concatenate(halves), []
+            every.sort()
             first = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]]))
             count = np.diff(np.append(first, len(every)))
             often = count >= LOCAL_SETS
-            token, count = every[first[often]].view(np.int64), count[often]
+            token, count = every[first[often]].astype(np.int64), count[often]
             n, m = len(ids), len(token)
             yield pa.RecordBatch.from_pydict(
                 {
