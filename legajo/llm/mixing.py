@@ -160,7 +160,8 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 8) -> tuple
     placed = placed.select("doc_id", "size", "sid", "source_size", "target", "source", "bucket", "nth", "nth_alike", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
     first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     blocks = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
-    joined = blocks.join(_slots(spark, plan, shards, seed), ["sid", "block"], "left")
+    # Both sides grow with the corpus, whatever the planner makes of the slots' small seed table: never broadcast.
+    joined = blocks.join(_slots(spark, plan, shards, seed).hint("merge"), ["sid", "block"], "left")
     origin = F.col("block") * BLOCK - F.col("start")
     pieces = joined.select("doc_id", "size", "sid", "source_size", "target", "source", "bucket", "nth", "nth_alike", "shard", "slot", F.greatest(F.lit(0), origin).alias("from"), F.least("size", origin + F.col("words")).alias("to"))
     return placed, pieces.withColumn("to", F.when(F.col("shard").isNotNull(), F.greatest("to", "from")))
