@@ -80,7 +80,7 @@ class SegmentTreeBpe:
         depth = np.ceil(np.log2(np.maximum(sizes, 2))).astype(int)
         for d in np.unique(depth):
             rows = np.flatnonzero(depth == d)
-            step = max(1, (1 << 20) >> d)
+            step = max(1, (1 << 18) >> d)
             for a in range(0, len(rows), step):
                 part = rows[a : a + step]
                 for i, ids in zip(part.tolist(), self._trees([words[i] for i in part.tolist()], 1 << int(d)), strict=True):
