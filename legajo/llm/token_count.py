@@ -85,7 +85,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, ch
             short = [i for i, t in enumerate(texts) if len(t) <= chunk]
             counts = [0] * len(texts)
             for i, e in zip(short, library.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
-                counts[i] = len(e.ids)
+                counts[i] = len(e)
             for i in set(range(len(texts))) - set(short):
                 counts[i] = count_long(library, texts[i], chunk, overlap)
         return pa.RecordBatch.from_pydict(
