@@ -3,8 +3,9 @@
 Equal vectors become one class first, so copies are never paired. The neighbour graph starts from blocks of vectors that
 lie together in several random-hyperplane orders and is refined by neighbours-of-neighbours joins: each vector is a pivot whose
 neighbours and reverse neighbours meet, and what improves a list is merged into it, until few lists change. A list has ``K``
-places; it is enlarged to ``K_MOST`` while it is saturated with neighbours beyond the threshold. Lists that are saturated even
-then are completed exactly: their component is compared with itself in blocks, which emit counts and no pairs.
+places; it is enlarged to ``K_MOST`` while it is saturated with neighbours beyond the threshold. Vectors whose lists are saturated even
+then are completed exactly: they are grouped in cells, the centres of cells are compared with all vectors, and the vectors of a cell with all
+that the angles leave possible, in blocks that emit counts and the components to be joined, but no pairs.
 Recall is audited: a bounded sample of ``AUDIT`` vectors is compared with all rows in blocks, and while the links found fall short of
 ``RECALL``, further orders are drawn and refined. Links are kept if their cosine in double precision meets the threshold.
 
@@ -15,7 +16,7 @@ repeated rows count as other vectors; other columns are ignored; an empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ K, K_MOST, ORDERS, BITS, BLOCK, SCAN = 8, 32, 4, 16, 256, 512
 ROUNDS, STEPS, CHANGED, AUDIT, RECALL = 3, 6, 0.02, 256, 0.99
 #: Slack of the half-precision cosines that lists are ranked by.
 SLACK = 0.01
+#: Cosine to its component's root from which a vector lies in the root's cell.
+WIDE = 0.7
 
 
 def vectors(column: pa.Array) -> list[np.ndarray]:
@@ -213,28 +216,100 @@ def _exact(nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return arrow_map(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _scanned(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """id, n: weight of all links within the components of ``members`` (root, id), in pairs of blocks."""
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / SCAN).cast("int").alias("blocks"))
-    rows = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id", F.lit(4)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("root", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    rows = rows.join(nodes.select("id", "weight", "unit"), "id")
+def _crossed(left: DataFrame, right: DataFrame, nodes: DataFrame, fn: Callable[[pa.Table, pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``fn`` over the rows and the cosines of each block of ``left`` with each block of ``right`` (both: g, id, equal further columns) of its group g."""
+    sizes = left.groupBy("g").agg(F.ceil(F.count("*") / SCAN).cast("int").alias("i_blocks"))
+    sizes = sizes.join(right.groupBy("g").agg(F.ceil(F.count("*") / SCAN).cast("int").alias("j_blocks")), "g")
+    rows = left.withColumn("side", F.lit(0)).union(right.withColumn("side", F.lit(1))).join(sizes, "g").join(nodes.select("id", "weight", "unit"), "id")
+    own = F.pmod(F.xxhash64("id", F.lit(4)), F.when(F.col("side") == 0, F.col("i_blocks")).otherwise(F.col("j_blocks"))).cast("int")
+    across = F.when(F.col("side") == 0, F.col("j_blocks")).otherwise(F.col("i_blocks"))
+    rows = rows.withColumn("own", own).withColumn("across", F.explode(F.sequence(F.lit(0), across - 1)))
+    i, j = (F.when(F.col("side") == k, F.col("own")).otherwise(F.col("across")) for k in (0, 1))
+    rows = rows.select(*left.columns, "side", i.alias("i"), j.alias("j"), "weight", "unit")
 
     def run(batches):
-        for table in streamed(batches, ["root", "i", "j"]):
-            root, i, j, block, ids, weight = (table.column(c).to_numpy() for c in ("root", "i", "j", "block", "id", "weight"))
-            starts = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-            for a, b in zip(starts, [*starts[1:], len(root)], strict=True):
-                x = _matrix(table.column("unit").slice(a, b - a), np.float64)
-                near = x @ x.T >= threshold
-                np.fill_diagonal(near, False)
-                if i[a] != j[a]:  # pairs within a block belong to the task of that block alone
-                    near &= block[a:b, None] != block[a:b]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(near @ weight[a:b], pa.int64())], ["id", "n"])
+        for table in streamed(batches, ["g", "i", "j"]):
+            g, i, j, side = (table.column(c).to_numpy() for c in ("g", "i", "j", "side"))
+            starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            for a, b in zip(starts, [*starts[1:], len(g)], strict=True):
+                x, y = (table.slice(a, b - a).filter(pa.array(side[a:b] == k)) for k in (0, 1))
+                if x.num_rows and y.num_rows:
+                    yield from fn(x, y, _matrix(x.column("unit"), np.float64) @ _matrix(y.column("unit"), np.float64).T)
 
-    dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
-    return arrow_map(dealt, run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return arrow_map(rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "id"), run, schema)
+
+
+def _celled(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """cell, id, root, angle: each of ``members`` (id, root, leader) lies with its component's root if that is near, else with its leader."""
+
+    def run(batches):
+        for batch in batches:
+            cells, angles = [], []
+            for x, r, y, root, leader in zip(*(batch.column(c).to_pylist() for c in ("x", "r", "y", "root", "leader")), strict=True):
+                x, r, y = (np.frombuffer(v, np.float64) for v in (x, r, y))
+                near = float(np.dot(x, r)) >= WIDE
+                cells.append(root if near else leader)
+                angles.append(float(np.arccos(np.clip(np.dot(x, r if near else y), -1, 1))))
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), batch.column("id"), batch.column("root"), pa.array(angles, pa.float64())], ["cell", "id", "root", "angle"])
+
+    for key, name in (("id", "x"), ("root", "r"), ("leader", "y")):
+        members = members.join(nodes.select(F.col("id").alias(key), F.col("unit").alias(name)), key)
+    return arrow_map(members.select("id", "root", "leader", "x", "r", "y"), run, "cell long, id long, root long, angle double")
+
+
+def _scanned(nodes: DataFrame, labels: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Links of ``members`` (id, root, leader) with all nodes, exactly: rows (joins false, id, weight linked) and (joins true, root, root linked).
+
+    A member's cell has a centre and the widest angle of its members to it; whatever links with one of them is within that angle plus
+    the threshold's. So centres are compared with all nodes, and members only with what is near enough to their cell's centre.
+    labels: id, root, whole (is a member) of all nodes.
+    """
+    cells = written(_celled(nodes, members), "cells", True)
+    reach = F.least(F.lit(np.pi), F.max("angle") + float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6)
+    centres = cells.groupBy(F.col("cell").alias("id")).agg(reach.alias("reach")).join(nodes.select("id", F.col("dim").alias("g")), "id")
+
+    def close(x, y, sims):
+        for k, cell in enumerate(x.column("id").to_pylist()):
+            ids = y.column("id").to_numpy()[sims[k] >= np.cos(x.column("reach")[k].as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), cell), pa.int64()), pa.array(ids, pa.int64())], ["g", "id"])
+
+    everything = nodes.select(F.col("dim").alias("g"), "id", F.lit(0.0).alias("reach"))
+    against = written(_crossed(centres.select("g", "id", "reach"), everything, nodes, close, "g long, id long"), "against", True)
+
+    def linked(x, y, sims):
+        ids, others = x.column("id").to_numpy(), y.column("id").to_numpy()
+        near = (sims >= threshold) & (ids[:, None] != others)
+        root, other = x.column("root").to_numpy(), y.column("root").to_numpy()
+        rest = ~y.column("whole").to_numpy()
+        i, j = np.nonzero(near & (root[:, None] != other))
+        joins = np.unique(np.stack([root[i], other[j]], 1), axis=0)
+        for flag, a, b in (
+            (False, ids, near @ y.column("weight").to_numpy()),
+            (False, others[rest], x.column("weight").to_numpy() @ near[:, rest]),
+            (True, joins[:, 0], joins[:, 1]),
+        ):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), flag), pa.bool_()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["joins", "a", "b"])
+
+    one = cells.select(F.col("cell").alias("g"), "id", "root", F.lit(True).alias("whole"))
+    return _crossed(one, against.join(labels, "id").select("g", "id", "root", "whole"), nodes, linked, "joins boolean, a long, b long")
+
+
+def _completed(nodes: DataFrame, near: DataFrame, pairs: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
+    """id, n, root of each node; written. ``pairs`` are the links known; those of the nodes in ``whole`` (id) are all found here."""
+    label = components(pairs)
+    labels = nodes.select("id").join(label, F.col("id") == F.col("node"), "left").join(whole.withColumn("whole", F.lit(True)), "id", "left")
+    labels = written(labels.select("id", F.coalesce("root", "id").alias("root"), F.coalesce("whole", F.lit(False)).alias("whole")), "labels", True)
+    each = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    each = each.join(whole, "id", "left_anti").join(whole.select(F.col("id").alias("other")), "other", "left_anti")
+    counts = each.join(nodes.select(F.col("id").alias("other"), "weight"), "other").select("id", F.col("weight").alias("n"))
+    if not whole.isEmpty():
+        least = near.select(F.col("u").alias("id"), F.col("v")).union(whole.select("id", "id")).groupBy("id").agg(F.min_by("v", F.xxhash64("v", F.lit(9))).alias("leader"))
+        found = written(_scanned(nodes, labels, labels.where("whole").join(least, "id").select("id", "root", "leader"), threshold), "scanned", True)
+        counts = counts.union(found.where("not joins").select("a", "b"))
+        above = components(found.where("joins").select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("above"))
+        labels = labels.join(above, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
+    counts = counts.groupBy("id").agg(F.sum("n").alias("n"))
+    return written(labels.join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), "root"), "result", True)
 
 
 def audit(nodes: DataFrame, result: DataFrame, threshold: float, sample: int = AUDIT) -> float:
@@ -266,15 +341,8 @@ def links(nodes: DataFrame, threshold: float) -> DataFrame:
         lists = _descend(nodes, start if lists is None else start.unionByName(lists.withColumn("new", F.lit(False))), floor, n)
         near = lists.where(F.col("s") >= floor)
         pairs = written(_exact(nodes, near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), threshold), "links", True)
-        label = components(pairs)
-        saturated = near.groupBy("u").count().where(F.col("count") >= K_MOST).select(F.col("u").alias("node"))
-        roots = saturated.join(label, "node").select("root").distinct()
-        members = written(label.join(roots, "root").select("root", F.col("node").alias("id")), "members", True)
-        each = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a")).join(members, "id", "left_anti")
-        few = each.join(nodes.select(F.col("id").alias("other"), "weight"), "other").groupBy("id").agg(F.sum("weight").alias("n"))
-        counts = few.union(_scanned(nodes, members, threshold))
-        result = nodes.select("id").join(counts, "id", "left").join(label, F.col("id") == F.col("node"), "left")
-        result = written(result.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "id").alias("root")), "result", True)
+        whole = written(near.groupBy("u").count().where(F.col("count") >= K_MOST).select(F.col("u").alias("id")), "whole", True)
+        result = _completed(nodes, near, pairs, whole, threshold)
         if audit(nodes, result, threshold) >= RECALL:
             break
     return result

@@ -51,3 +51,25 @@ def test_streamed_groups():
         batches = [pa.RecordBatch.from_pydict({"k": keys[i : i + cut]}) for i in range(0, len(keys), cut)]
         tables = [t.column("k").to_pylist() for t in nndescent.streamed(iter(batches), ["k"])]
         assert sum(tables, []) == keys and not any(set(a) & set(b) for i, a in enumerate(tables) for b in tables[:i])
+
+
+def groups(seed, size, count, dim=24, inner=0.99, cross=0.93):
+    """Groups of vectors whose cosines are about ``inner`` within a group and ``cross`` between groups."""
+    r = np.random.default_rng(seed)
+    axes = np.linalg.qr(r.normal(size=(dim, dim)))[0]
+    share = np.sqrt(cross / inner)
+    rows = []
+    for g in range(count):
+        centre = share * axes[0] + np.sqrt(1 - share**2) * axes[g + 1]
+        noise = r.normal(size=(size, dim - count - 1)) @ axes[count + 1 :]
+        rows += list((np.sqrt(inner) * centre + np.sqrt(1 - inner) * noise / np.linalg.norm(noise, axis=1)[:, None]).astype(np.float32))
+    rows += list(r.normal(size=(100, dim)))
+    ids = r.permutation(10 * len(rows))[: len(rows)]
+    return [(int(i), [float(c) for c in v]) for i, v in zip(ids, rows, strict=True)]
+
+
+@pytest.mark.parametrize("size,count,cross", [(45, 2, 0.93)])
+def test_links_across_saturated_groups(spark, size, count, cross):
+    rows = groups(3, size, count, cross=cross)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert Counter(map(tuple, nndescent.near_dedup(df).collect())) == brute(rows)
