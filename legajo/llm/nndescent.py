@@ -6,8 +6,8 @@ neighbours and reverse neighbours meet, and what improves a list is merged into
 places; it is enlarged to ``K_MOST`` while it is saturated with neighbours beyond the threshold. Vectors whose lists are saturated even
 then are completed exactly: they are grouped in cells, the centres of cells are compared with all vectors, and the vectors of a cell with all
 that the angles leave possible, in blocks that emit counts and the components to be joined, but no pairs.
-Recall is audited: a bounded sample of ``AUDIT`` vectors is compared with all rows in blocks, and while the links found fall short of
-``RECALL``, further orders are drawn and refined. Links are kept if their cosine in double precision meets the threshold.
+Recall is audited: a sample of ``AUDIT`` vectors, enlarged until it holds ``ENOUGH`` links, is compared with all rows in blocks, and while the
+links found fall short of ``RECALL``, further orders are drawn and refined; after ``ROUNDS`` of them all vectors are completed exactly. Links are kept if their cosine in double precision meets the threshold.
 
 Free style: numpy in mapInArrow over sorted partitions, grouped by streaming, so memory is bounded by a batch. Vectors that are null, empty,
 zero or hold null or non-finite components, and rows without an id, link with nothing; vectors of different length don't link;
@@ -30,6 +30,8 @@ K, K_MOST, ORDERS, BITS, BLOCK, SCAN = 8, 32, 4, 16, 256, 512
 ROUNDS, STEPS, CHANGED, AUDIT, RECALL = 3, 6, 0.02, 256, 0.99
 #: Slack of the half-precision cosines that lists are ranked by.
 SLACK = 0.01
+#: Links that a sample needs for its recall to count.
+ENOUGH = 100
 #: Cosine to its component's root from which a vector lies in the root's cell.
 WIDE = 0.7
 
@@ -313,23 +315,24 @@ def _completed(nodes: DataFrame, near: DataFrame, pairs: DataFrame, whole: DataF
 
 
 def audit(nodes: DataFrame, result: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the links of a bounded sample of vectors, found by comparing it with all rows, that ``result`` (id, n) has."""
-    picked = nodes.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample).select("id", "dim", "unit").toPandas()
-    shared = nodes.sparkSession.sparkContext.broadcast([(d, g["id"].to_numpy(), np.stack([np.frombuffer(u, np.float64) for u in g["unit"]])) for d, g in picked.groupby("dim")])
+    """Share of the links of a sample of vectors, found by comparing it with all rows, that ``result`` (id, n) has.
 
-    def run(batches):
-        for batch in batches:
-            dims, ids, weight = (np.asarray(batch.column(c)) for c in ("dim", "id", "weight"))
-            for d, queries, q in shared.value:
-                at = np.flatnonzero(dims == d)
-                if len(at):
-                    near = _matrix(batch.column("unit").take(pa.array(at)), np.float64) @ q.T >= threshold
-                    near &= ids[at][:, None] != queries
-                    yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(weight[at] @ near, pa.int64())], ["id", "true"])
+    The sample starts with about ``sample`` vectors and grows until its links weigh ``ENOUGH`` or it holds all vectors.
+    """
+    n = nodes.count()
+    all_rows = nodes.select(F.col("dim").alias("g"), "id")
 
-    true = arrow_map(nodes.select("id", "dim", "weight", "unit"), run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    total = true.join(result.select("id", "n"), "id", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-    return (total[1] or 0) / total[0] if total[0] else 1.0
+    def run(x, y, sims):
+        near = (sims >= threshold) & (x.column("id").to_numpy()[:, None] != y.column("id").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(x.column("id").to_numpy(), pa.int64()), pa.array(near @ y.column("weight").to_numpy(), pa.int64())], ["id", "true"])
+
+    while True:
+        picked = all_rows if sample >= n else all_rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40)) < int(sample / n * (1 << 40)))
+        true = _crossed(picked, all_rows, nodes, run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
+        total = true.join(result.select("id", "n"), "id", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
+        if sample >= n or (total[0] or 0) >= ENOUGH:
+            return (total[1] or 0) / total[0] if total[0] else 1.0
+        sample *= 4
 
 
 def links(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -344,8 +347,8 @@ def links(nodes: DataFrame, threshold: float) -> DataFrame:
         whole = written(near.groupBy("u").count().where(F.col("count") >= K_MOST).select(F.col("u").alias("id")), "whole", True)
         result = _completed(nodes, near, pairs, whole, threshold)
         if audit(nodes, result, threshold) >= RECALL:
-            break
-    return result
+            return result
+    return _completed(nodes, near, pairs, nodes.select("id"), threshold)
 
 
 def near_dedup(df: DataFrame, threshold: float = 0.9) -> DataFrame:

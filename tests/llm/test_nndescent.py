@@ -73,3 +73,11 @@ def test_links_across_saturated_groups(spark, size, count, cross):
     rows = groups(3, size, count, cross=cross)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     assert Counter(map(tuple, nndescent.near_dedup(df).collect())) == brute(rows)
+
+
+def test_short_recall_of_few_links_ends_in_an_exact_scan(spark, monkeypatch):
+    rows = cloud(4, 600, [2, 3])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(nndescent, "ROUNDS", 1)
+    monkeypatch.setattr(nndescent, "_descend", lambda nodes, start, floor, n: nndescent.written(nndescent._lists(start.where("false"), floor), "lists"))
+    assert Counter(map(tuple, nndescent.near_dedup(df).collect())) == brute(rows)
