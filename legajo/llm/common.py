@@ -28,9 +28,11 @@ BATCH_BYTES = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="legajo-")
@@ -118,6 +120,13 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, made of ``names``."""
+    used = {c.lower() for c in df.columns}
+    tail = next("_" * n for n in range(1, len(used) + 2) if not any(f"_{x}{'_' * n}" in used for x in names))
+    return [f"_{x}{tail}" for x in names]
+
+
 def id_crc(name: str = "doc_id"):
     """crc32 of the id written as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
@@ -160,15 +169,60 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, ends[-1] - ends[0], ends[0]), ends - ends[0]
 
 
-def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Boolean map of 2**bits cells, set where a 64-bit value's low bits occur.
+class Bitmap:
+    """2**bits cells, one bit each."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.low = words, np.uint64((1 << bits) - 1)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        """Whether the low bits of each 64-bit value are set."""
+        cell = values.view(np.uint64) & self.low
+        return (self.words[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    Its size is fixed: at most 2**(bits-6) words come to the driver, whatever the input. Full cells
+
+def bitmap_of(df: DataFrame, column: str, bits: int) -> Bitmap:
+    """A cell is set where a value of the long ``column`` has its low bits.
+
+    Its size is fixed: at most 2**(bits-6) rows of 12 bytes come to the driver, whatever the input. Full cells
     make later steps pass more rows, never fewer.
     """
     cell = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     words = df.select(F.shiftright(cell, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(1 << max(bits - 6, 0), np.uint64)
-    for row in words.toLocalIterator():
-        out[row.w] = np.uint64(row.b & 0xFFFFFFFFFFFFFFFF)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    out, found = np.zeros(1 << max(bits - 6, 0), np.uint64), words.toArrow()
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return Bitmap(out, bits)
+
+
+def mark_of(column: str, seed: int):
+    """A value's hash from 0 to 2**63 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(column).cast("string"), F.lit(seed)), 1)
+
+
+def low_marks(rows: DataFrame, by: str, most: int, counted: DataFrame | None = None) -> DataFrame:
+    """The rows with the lowest ``mark`` of each class ``by``, somewhat over ``most`` different marks (a quarter and five standard errors more) or all, without sorting a class.
+
+    The marks of a class are counted (in ``counted``, where that is given) and cut at the share that is wanted; one row for each class comes to the driver and is broadcast.
+    """
+    counts = (rows if counted is None else counted).groupBy(by).agg(F.approx_count_distinct("mark").alias("n")).collect()
+    limits = [(r[by], (1 << 63) - 1 if r["n"] <= most else int(min(1.0, (1.25 * most + 5 * most**0.5) / r["n"]) * ((1 << 63) - 1024))) for r in counts if r[by] is not None]
+    limits = rows.sparkSession.createDataFrame(limits, f"{by} {rows.schema[by].dataType.simpleString()}, below long")
+    return rows.join(F.broadcast(limits), by).where("mark <= below").drop("below")
+
+
+def sampled(rows: DataFrame, by: str, most: int, total: int, each: int) -> pa.Table:
+    """The rows of each class in order of ``mark``, up to ``most`` and to ``total`` bytes (column n); rows of over ``each`` bytes are passed over.
+
+    rows: what ``low_marks`` gave, one row for each mark and stored.
+    """
+    last: dict = {}
+    used: dict = {}
+    for r in sorted(rows.where(F.col("n") <= each).select(by, "mark", "n").collect(), key=lambda r: r["mark"]):
+        count, size = used.get(r[by], (0, 0))
+        used[r[by]] = (count + 1, size + r["n"])
+        if count < most and size + r["n"] <= total:
+            last[r[by]] = r["mark"]
+        else:
+            used[r[by]] = (most, total)
+    limits = rows.sparkSession.createDataFrame(list(last.items()), f"{by} {rows.schema[by].dataType.simpleString()}, upto long")
+    return rows.join(F.broadcast(limits), by).where((F.col("n") <= each) & (F.col("mark") <= F.col("upto"))).drop("upto").toArrow()
