@@ -6,10 +6,11 @@ bitmap of fixed size holds well, come last, else by hash. Two linked sets share
 
 Answers are derived from highly similar sets in two rounds. Round one verifies each index list's entries against the
 list's most central set only (the one with the fewest rare elements before); what links shares one component, i.e. takes over that set's answers. Round two looks only at lists whose entries
-are still in different components, and only for pairs across them. There, a list is cut into blocks by set size, and an
-entry's position bounds the sizes that can still reach the overlap, so it skips all other blocks. Parity bitmaps of the
-sets, a lower bound of their difference, then reject most pairs that share a passage only. Verification is exact on whole sets
-(up to hash collisions). Pairs within a component are never emitted, so a group of near copies costs its lists, not its square.
+are still in different components, and only for pairs across them. There, a list is cut into blocks by set size and position: an
+entry's position bounds the sizes that can still reach the overlap, and these sizes bound the partner's position, so it skips all other blocks.
+Parity bitmaps of the sets, a lower bound of their difference, then reject most pairs that share a passage only. What remains is derived from the
+answers of hubs, the sets that round one found near: the hubs' difference is computed once, and a pair's lies within the two
+sets' differences from their hubs of it; only pairs that this leaves open are verified. Verification is exact on whole sets (up to hash collisions). Pairs within a component are never emitted, so a group of near copies costs its lists, not its square.
 
 All texts are mapped in numpy (free style); the lists of common elements are salted for the count and split by AQE in the joins. What is
 broadcast has a fixed size: bitmaps of 2**BITS cells, whose saturation costs time, not results. Nulls, empty texts and texts without words
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from legajo.llm.common import arrow_map, bitmap_of, chunks, kept, text_or_empty, written
+from legajo.llm.common import Bitmap, arrow_map, bitmap_of, chunks, kept, text_or_empty, written
 from legajo.llm.graph import components
 from legajo.llm.words import Words, mix, shingle_sets
 
@@ -34,7 +35,8 @@ WORDS_EACH, BITS, LOCAL_SETS, SALTS = 5, 23, 2, 32
 SIGNATURES = ((600, 8), (2400, 32), (float("inf"), 128))
 #: Linked if DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
-GROWTH = 1.06
+#: Ratio of the sizes, and of the positions, from one block of a list to the next.
+GROWTH, DEEPER = 1.08, 4.0
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -66,16 +68,17 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: doc_id, n, set, sig of each document; and token, count of elements that several sets of a batch have.
+    """Rows of two kinds: doc_id, row, n, set, sig of each document; and token, count of elements that several sets of a batch have.
 
     Elements are counted by their low 32 bits: one counted with another's share comes later in the order, which any order may.
     """
 
     def run(batches):
         for batch in batches:
-            ids, sizes, names, sigs, seen, halves = [], [], [], [], set(), [np.zeros(0, np.uint32)]
+            ids, keys, sizes, names, sigs, seen, halves = [], [], [], [], [], set(), [np.zeros(0, np.uint32)]
             for part, sets in _sets(batch, k):
                 ids += part.column("doc_id").to_pylist()
+                keys += part.column("row").to_pylist()
                 sizes += map(len, sets)
                 sigs += [signature(s) for s in sets]
                 for s in sets:
@@ -93,6 +96,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(ids + [None] * m, pa.int64()),
+                    "row": pa.array(keys + [None] * m, pa.binary()),
                     "n": pa.array(sizes + [None] * m, pa.int32()),
                     "set": pa.array(names + [None] * m, pa.int64()),
                     "sig": pa.array(sigs + [None] * m, pa.list_(pa.int64())),
@@ -101,10 +105,10 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                 }
             )
 
-    return arrow_map(docs, run, "doc_id long, n int, set long, sig array<long>, token long, count long")
+    return arrow_map(docs, run, "doc_id long, row binary, n int, set long, sig array<long>, token long, count long")
 
 
-def _common(profile: DataFrame) -> np.ndarray:
+def _common(profile: DataFrame) -> Bitmap:
     """Bitmap of the most frequent elements, as many as fill an eighth of it."""
     counts = profile.where("token is not null").groupBy("token").agg(F.sum("count").alias("count"))
     level = F.floor(F.log2("count") * 8).alias("level")
@@ -121,7 +125,6 @@ def _lists(docs: DataFrame, common, k: int, num: int, den: int) -> DataFrame:
     """token, set, n, pos, hot: the prefixes of all sets."""
 
     def run(batches):
-        hot_cells = common.value
         for batch in batches:
             seen, out = set(), []
             for _, sets in _sets(batch, k):
@@ -129,7 +132,7 @@ def _lists(docs: DataFrame, common, k: int, num: int, den: int) -> DataFrame:
                     if not len(s) or (name := set_id(s)) in seen:
                         continue
                     seen.add(name)
-                    hot = hot_cells[(s & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+                    hot = common.value.has(s)
                     p = prefix_size(len(s), num, den)
                     order = np.argsort(hot, kind="stable")[:p]
                     out.append((s[order], np.full(p, name, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), hot[order]))
@@ -155,7 +158,7 @@ def _wanted(docs: DataFrame, pairs: DataFrame, profile: DataFrame, k: int) -> Da
 
     def run(batches):
         for batch in batches:
-            keep = cells.value[np.asarray(batch.column("h")) & ((1 << BITS) - 1)]
+            keep = cells.value.has(np.asarray(batch.column("h")))
             batch = batch.filter(pa.array(keep))
             for _, sets in _sets(batch, k):
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set", "tokens"])
@@ -164,13 +167,17 @@ def _wanted(docs: DataFrame, pairs: DataFrame, profile: DataFrame, k: int) -> Da
     return found.join(need, "set", "left_semi").groupBy("set").agg(F.first("tokens").alias("tokens"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs a, b whose whole sets meet the threshold."""
+def _differing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, size (of both together) and diff (elements that only one of them has) of the pairs, exactly."""
     one = sets.select(F.col("set").alias("b"), F.col("tokens").alias("y"))
     other = sets.select(F.col("set").alias("a"), F.col("tokens").alias("x"))
-    shared = F.size(F.array_intersect("x", "y")).cast("long")
-    union = F.size("x") + F.size("y") - shared
-    return pairs.join(one, "b").join(other, "a").where(den * shared >= num * union).select("a", "b")
+    size = (F.size("x") + F.size("y")).cast("long")
+    return pairs.join(one, "b").join(other, "a").select("a", "b", size.alias("size"), (size - 2 * F.size(F.array_intersect("x", "y"))).alias("diff"))
+
+
+def _links(diff, size, num: int, den: int):
+    """Whether sets of ``size`` elements together that differ in ``diff`` elements meet the threshold."""
+    return diff * (num + den) <= size * (den - num)
 
 
 def _may_link(n1, pos1, n2, pos2, num: int, den: int):
@@ -192,18 +199,43 @@ def _apart(x: str, y: str):
 
 
 def _plausible(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs a, b whose bitmaps leave it possible that few enough elements differ, with ``apart``, the bits that differ."""
+    """Pairs a, b whose bitmaps leave it possible that few enough elements differ, with their size together and ``apart``, the bits that differ."""
     one, other = (sigs.select(*[F.col(c).alias(f"{side}_{c}") for c in sigs.columns]) for side in "xy")
     both = pairs.join(one, F.col("a") == F.col("x_set")).join(other, F.col("b") == F.col("y_set")).withColumn("apart", _apart("x_sig", "y_sig"))
-    return both.where(F.col("apart") * (num + den) <= (F.col("x_n") + F.col("y_n")).cast("long") * (den - num)).select("a", "b", "apart")
+    return both.withColumn("size", (F.col("x_n") + F.col("y_n")).cast("long")).where(_links(F.col("apart"), F.col("size"), num, den)).select("a", "b", "size", "apart")
+
 
+def _settled(pairs: DataFrame, hubs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b of the linked ones among ``pairs`` (a, b, size): answers of hubs are computed, those of the sets near them derived.
 
-def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable over links) of every row."""
+    hubs: set, hub, off: a set's hub and the number of elements that only one of the two has. The hubs of a pair are verified once for all
+    pairs that have them; their difference, less or more what the sets differ from their hubs, bounds the pair's. Only pairs
+    that these bounds leave open are verified themselves.
+    """
+    for side in "ab":
+        of = hubs.select(F.col("set").alias(side), F.col("hub").alias(f"h{side}"), F.col("off").alias(f"o{side}"))
+        pairs = pairs.join(of, side, "left").withColumn(f"h{side}", F.coalesce(f"h{side}", side)).withColumn(f"o{side}", F.coalesce(f"o{side}", F.lit(0)))
+    pairs = pairs.select("a", "b", "size", F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb"), (F.col("oa") + F.col("ob")).alias("off"))
+    met = pairs.where("ha != hb").select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
+    met = _differing(met, sets).select(F.col("a").alias("ha"), F.col("b").alias("hb"), "diff")
+    known = written(pairs.join(met, ["ha", "hb"], "left").withColumn("diff", F.coalesce("diff", F.lit(0))), "known", True)
+    sure = known.where(_links(F.col("diff") + F.col("off"), F.col("size"), num, den)).select("a", "b")
+    open_ = known.where(~_links(F.col("diff") + F.col("off"), F.col("size"), num, den) & _links(F.col("diff") - F.col("off"), F.col("size"), num, den))
+    found = _differing(open_.select("a", "b"), sets)
+    return sure.union(found.where(_links(F.col("diff"), F.col("size"), num, den)).select("a", "b"))
+
+
+def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: int = DEN, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable over links) of every row.
+
+    row: a binary column that tells rows apart where ids don't; it is returned too, with ``comp``, which is equal in a component and null for empty sets.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    key = F.col(row) if row else F.lit(None).cast("binary")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), key.alias("row"))
     profile = written(_profile(docs, k), "profile")
-    rows = profile.where("token is null").select("doc_id", "n", "set")
+    docs = docs.drop("row")
+    rows = profile.where("token is null").select("doc_id", "row", "n", "set")
     sigs = profile.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     common = spark.sparkContext.broadcast(_common(profile))
     salt = F.when(F.col("hot"), F.pmod("set", F.lit(SALTS))).otherwise(F.lit(0))
@@ -223,28 +255,42 @@ def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: i
     pairs = _plausible(star.select(F.col("f.set").alias("a"), F.col("set").alias("b")).distinct(), sigs, num, den)
     nearest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m"))  # others wait for round two
     tried = written(nearest.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct(), "pairs", True)
-    links = written(_linked(tried, _wanted(docs, tried, rows, k), num, den), "links", True)
+    found = written(_differing(tried, _wanted(docs, tried, rows, k)), "links", True)
+    found = found.where(_links(F.col("diff"), F.col("size"), num, den))
+    links, ends = found.select("a", "b"), found.select("a", "b", "diff").union(found.select("b", "a", "diff")).join(nearest.select("b", "m.a").toDF("b", "a"), ["a", "b"], "left_semi")
+    hubs = ends.select(F.col("b").alias("set"), F.col("a").alias("hub"), F.col("diff").alias("off"))
     label = components(links)
 
     # Round two: pairs across components within a list, block by block.
     entry = live.join(label, live["set"] == label["node"], "left").select("token", "set", "n", "pos", F.coalesce("root", "set").alias("comp"))
     mixed = entry.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
     entry = written(entry.join(mixed, "token"), "mixed", True)
-    # Seen from the smaller (or equal) set, the partner's size is at least its own and at most what its position allows.
+    # Seen from the smaller (or equal) set, the partner's size is at least its own and at most what its position allows; in a block of
+    # sizes, positions beyond ``deepest`` leave the partner too few elements, so whole blocks of positions are skipped.
     top = _top(num, den)
     block = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(GROWTH)))
+    depth = lambda pos: F.floor(F.log(pos.cast("double") + 1) / float(np.log(DEEPER)))
+    largest = F.least(top, F.floor(F.pow(F.lit(GROWTH), F.col("block") + 1) + 1).cast("long"))
+    deepest = F.greatest(F.lit(0), F.floor((den * largest - num * F.col("n").cast("long")) / (num + den)))
     probe = entry.where(top >= F.col("n")).withColumn("block", F.explode(F.sequence(block(F.col("n")), block(top))))
-    left, right = probe.alias("l"), entry.withColumn("block", block(F.col("n"))).alias("r")
+    probe = probe.withColumn("depth", F.explode(F.sequence(F.lit(0).cast("long"), depth(deepest))))
+    left, right = probe.alias("l"), entry.withColumn("block", block(F.col("n"))).withColumn("depth", depth(F.col("pos"))).alias("r")
     ordered = (F.col("r.n") > F.col("l.n")) | ((F.col("r.n") == F.col("l.n")) & (F.col("r.set") > F.col("l.set")))
     fits = _may_link(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"), num, den)
-    met = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.comp") != F.col("r.comp")) & ordered & fits)
+    same = (F.col("l.token") == F.col("r.token")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.depth") == F.col("r.depth"))
+    met = left.join(right, same & (F.col("l.comp") != F.col("r.comp")) & ordered & fits)
     pairs = met.select(F.least("l.set", "r.set").alias("a"), F.greatest("l.set", "r.set").alias("b")).distinct()
-    again = written(_plausible(pairs.join(tried, ["a", "b"], "left_anti"), sigs, num, den).select("a", "b"), "pairs", True)
+    again = written(_plausible(pairs.join(tried, ["a", "b"], "left_anti"), sigs, num, den).select("a", "b", "size"), "pairs", True)
     if not again.isEmpty():
-        more = _linked(again, _wanted(docs, again, rows, k), num, den)
-        label = components(written(links.union(more), "links", True))
+        sets = [again.select("a", "b")]
+        for side in "ab":  # the sets' hubs are verified too
+            sets.append(again.select(F.col(side).alias("set")).join(hubs, "set").select(F.col("hub").alias("a"), F.col("hub").alias("b")))
+        sets = written(_wanted(docs, sets[0].union(sets[1]).union(sets[2]), rows, k), "sets")
+        label = components(written(links.union(_settled(again, hubs, sets, num, den)), "links", True))
     live.unpersist()
+    common.destroy()
 
-    named = rows.join(label, rows["set"] == label["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "set")).alias("comp"))
+    named = rows.join(label, rows["set"] == label["node"], "left").select("doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("root", "set")).alias("comp"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    out = named.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "row", "comp")
+    return out if row else out.drop("row", "comp")
