@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import arrow_map, bitmap_of, chunks, kept, text_or_empty, written
+from legajo.llm.common import arrow_map, bitmap_of, chunks, free_names, kept, text_or_empty, written
 from legajo.llm.words import Words
 
-LENGTH, GRAM, BITS = 50, 20, 23
+LENGTH, GRAM, BITS, SALTS = 50, 20, 23, 8
 
 
 def least_within(values: np.ndarray, width: int) -> np.ndarray:
@@ -68,7 +68,7 @@ def _seeded(docs: DataFrame, live, length: int, gram: int) -> DataFrame:
         for batch in (p for b in batches for p in chunks(b)):
             words = Words(batch.column("text"), False)
             row, first, count, anchor, _ = runs(words, length, gram)
-            keep = live.value[(anchor & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+            keep = live.value.has(anchor)
             row, first, count, anchor = row[keep], first[keep], count[keep], anchor[keep]
             ends = np.cumsum(count)
             at = np.arange(count.sum()) + np.repeat(first - (ends - count), count)
@@ -98,26 +98,31 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     kinds = seeds.groupBy("anchor", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     several = kinds.groupBy("anchor").agg((F.min("run") != F.max("run")).alias("several"))
     kinds = kinds.join(several, "anchor").where("several or first != last")
-    found = seeds.join(kinds, ["anchor", "run"])
+    # A run or window of a common passage has many holders: they are dealt over SALTS keys.
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SALTS)).cast("int")
+    found = seeds.withColumn("salt", salt).join(kinds.withColumn("salt", every), ["anchor", "run", "salt"])
     mine = F.col("doc_id") == F.col("first")
     settled = kept(found.where(~mine | F.col("several")).select("doc_id", "th", "start", "n", (~mine).alias("whole"), F.when(mine, F.col("windows")).alias("windows")))
     seeds.unpersist()
     whole = settled.where("whole").select("doc_id", "th", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + length).alias("end"))
     each = settled.where("not whole").select("doc_id", "th", "start", F.posexplode("windows").alias("k", "window")).select("doc_id", "th", "window", (F.col("start") + F.col("k")).alias("begin"))
     least = each.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("window", "first")
-    some = each.join(least, "window").where(F.col("doc_id") > F.col("first")).select("doc_id", "th", "begin", (F.col("begin") + length).alias("end"))
+    some = each.withColumn("salt", salt).join(least.withColumn("salt", every), ["window", "salt"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "th", "begin", (F.col("begin") + length).alias("end"))
     marks = written(whole.union(some).groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("marks")), "marks", True)
     settled.unpersist()
     return marks
 
 
-def _with_marks(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``docs`` with th, filled text and ``marks``, the intervals of each row."""
+def _with_marks(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns more, which hold the begins and ends of each row's intervals, and their names."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    key, th, begin, end = free_names(docs, "id", "th", "begin", "end")
     plain = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
     marks = repeated_windows(plain, length, gram)
-    marks = marks.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.transform("marks", lambda m: m["begin"]).alias("_begin"), F.transform("marks", lambda m: m["end"]).alias("_end"))
-    return docs.join(marks.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_th")), "left").drop("_id", "_th")
+    marks = marks.select(F.col("doc_id").alias(key), F.col("th").alias(th), F.transform("marks", lambda m: m["begin"]).alias(begin), F.transform("marks", lambda m: m["end"]).alias(end))
+    same = (F.col("doc_id") == F.col(key)) & (F.xxhash64(text_or_empty()) == F.col(th))
+    return docs.join(marks.hint("shuffle_hash"), same, "left").drop(key, th), begin, end
 
 
 def kept_mask(n: int, begin: list[int], end: list[int]) -> np.ndarray:
@@ -133,7 +138,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     def run(batches):
         for batch in (p for b in batches for p in chunks(b)):
             rows = []
-            for text, begin, end in zip(batch.column("text"), batch.column("_begin").to_pylist(), batch.column("_end").to_pylist(), strict=True):
+            for text, begin, end in zip(batch.column("text"), batch.column(begins).to_pylist(), batch.column(ends).to_pylist(), strict=True):
                 words = text.as_py().encode().split()
                 n, gone = len(words), 0
                 if begin:
@@ -143,8 +148,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             n, gone, sha = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    marked = _with_marks(docs.select("doc_id", "text"), length, gram)
-    return arrow_map(marked.select("doc_id", text_or_empty().alias("text"), "_begin", "_end"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    marked, begins, ends = _with_marks(docs.select("doc_id", "text"), length, gram)
+    return arrow_map(marked.select("doc_id", text_or_empty().alias("text"), begins, ends), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -155,7 +160,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     def run(batches):
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for i, (begin, end) in enumerate(zip(batch.column("_begin").to_pylist(), batch.column("_end").to_pylist(), strict=True)):
+            for i, (begin, end) in enumerate(zip(batch.column(begins).to_pylist(), batch.column(ends).to_pylist(), strict=True)):
                 if begin:
                     words = Words(pa.array([texts[i]], pa.string()), False)
                     keep = kept_mask(len(words.starts), begin, end)
@@ -165,4 +170,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return arrow_map(_with_marks(docs, length, gram), run, docs.withColumn("doc_id", F.col("doc_id").cast("long")).schema)
+    marked, begins, ends = _with_marks(docs, length, gram)
+    return arrow_map(marked, run, docs.withColumn("doc_id", F.col("doc_id").cast("long")).schema)
