@@ -1,7 +1,7 @@
 """A convolutional classifier in numpy: embeddings, filters of several widths, max pooling, softmax.
 
-Sequences lie one after the other in one id array, each followed by ``width - 1`` padding ids (0, whose embedding
-stays zero), so no filter sees two of them. The filters of all widths form one matrix, zero where a filter is
+Sequences lie one after the other in one id array, each behind ``width - 1`` padding ids (0, whose embedding
+stays zero) that count as its own, and as many end the array, so no filter sees two of them. The filters of all widths form one matrix, zero where a filter is
 narrower than the widest.
 """
 
@@ -31,7 +31,7 @@ class ConvNet:
         return np.lib.stride_tricks.as_strided(flat, (n, self.width * self.dim), (4 * self.dim, 4))
 
     def pooled(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Max over each sequence; ids end with width - 1 paddings. Works in blocks that fit a cache."""
+        """Max over each sequence; ``starts``: of the paddings before each. Works in blocks that fit a cache."""
         n = len(ids) - self.width + 1
         out = np.full((len(starts), self.conv.shape[1]), -np.inf, np.float32)
         owner = np.searchsorted(starts, np.arange(0, n, 8192), "right") - 1
@@ -48,6 +48,27 @@ class ConvNet:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
+    def gradients(self, sequences: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> dict:
+        """Of the mean weighted cross-entropy; ``table``: the rows where a maximum was taken and their gradients."""
+        gap = np.zeros(self.width - 1, sequences[0].dtype)
+        parts = [np.concatenate([gap, s]) for s in sequences]
+        starts = np.cumsum([0, *[len(p) for p in parts]])
+        ids = np.concatenate([*parts, gap])
+        value = self.columns(ids) @ self.conv + self.bias
+        where = np.stack([starts[i] + value[starts[i] : starts[i + 1]].argmax(0) for i in range(len(parts))])
+        pooled = np.take_along_axis(value, where, 0)
+        grad = self.probabilities(pooled)
+        grad[np.arange(len(parts)), labels] -= 1
+        grad *= weights[:, None] / len(parts)
+        down = grad @ self.dense.T
+        seen = ids[where[..., None] + np.arange(self.width)]  # (batch, filters, width)
+        inputs = self.table[seen].reshape(*where.shape, -1)
+        back = (down[..., None] * self.conv.T[None]).reshape(-1, self.dim)
+        touched, place = np.unique(seen.reshape(-1), return_inverse=True)
+        summed = np.zeros((len(touched), self.dim), np.float32)
+        np.add.at(summed, place, back)
+        return {"dense": pooled.T @ grad, "out": grad.sum(0), "bias": down.sum(0), "conv": np.einsum("bf,bfk->kf", down, inputs) * self.mask, "table": (touched, summed)}
+
     def fit(self, sequences: list[np.ndarray], labels: np.ndarray, epochs: int, rate: float = 0.01, batch: int = 64, decay: float = 0.0, seed: int = 11, weights: np.ndarray | None = None) -> None:
         """Adam on cross-entropy; the table's rows are updated where a maximum was taken."""
         rng = np.random.default_rng(seed)
@@ -55,29 +76,14 @@ class ConvNet:
         names = ("table", "conv", "bias", "dense", "out")
         first = {k: np.zeros_like(getattr(self, k)) for k in names}
         second = {k: np.zeros_like(getattr(self, k)) for k in names}
-        step, gap = 0, np.zeros(self.width - 1, np.int64)
+        step = 0
         for epoch in range(epochs):
             order = rng.permutation(len(sequences))
+            pace = rate * (1 - 0.9 * epoch / max(1, epochs))
             for a in range(0, len(order), batch):
                 rows, step = order[a : a + batch], step + 1
-                parts = [np.concatenate([sequences[i], gap]) for i in rows.tolist()]
-                starts = np.cumsum([0, *[len(p) for p in parts]])
-                ids = np.concatenate([*parts, gap])
-                value = self.columns(ids) @ self.conv + self.bias
-                where = np.stack([starts[i] + value[starts[i] : starts[i + 1]].argmax(0) for i in range(len(rows))])
-                pooled = np.take_along_axis(value, where, 0)
-                grad = self.probabilities(pooled)
-                grad[np.arange(len(rows)), labels[rows]] -= 1
-                grad *= weights[rows, None] / len(rows)
-                down = grad @ self.dense.T
-                seen = ids[where[..., None] + np.arange(self.width)]  # (batch, filters, width)
-                inputs = self.table[seen].reshape(*where.shape, -1)
-                grads = {"dense": pooled.T @ grad, "out": grad.sum(0), "bias": down.sum(0), "conv": np.einsum("bf,bfk->kf", down, inputs) * self.mask}
-                back = (down[..., None] * self.conv.T[None]).reshape(-1, self.dim)
-                touched, place = np.unique(seen.reshape(-1), return_inverse=True)
-                summed = np.zeros((len(touched), self.dim), np.float32)
-                np.add.at(summed, place, back)
-                pace = rate * (1 - 0.9 * epoch / max(1, epochs))
+                grads = self.gradients([sequences[i] for i in rows.tolist()], labels[rows], weights[rows])
+                touched, summed = grads.pop("table")
                 fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, g in grads.items():
                     first[k] += 0.1 * (g - first[k])

@@ -4,9 +4,10 @@ Byte embeddings, filters over 2, 3 and 4 bytes, max pooling and softmax, trained
 applied to batched fixed-length windows that cover the whole text. A document's prediction is the language
 with the highest mean probability over its windows, weighted by their bytes; the score is that mean.
 
-Training takes a bounded sample: at most ``PER_LANG`` labelled documents of each language, those with the
-lowest hash of the id, and one passage of ``PASSAGE`` characters of each. Scoring is one map over all texts, free style
-(mapInArrow). Null texts and texts without a letter get ``und`` and score 0; without any labelled text all get ``und``;
+Training takes a bounded sample of labelled rows and their whole texts: of each language the ``PER_LANG`` documents with the
+lowest hash of the id, as long as their texts stay within ``LANG_BYTES`` (a text of over ``ROW_BYTES`` trains nothing); of rows that share
+an id and a language one counts. Scoring is one map over all texts, free style (mapInArrow). Null texts and texts without a letter get
+``und`` and score 0; without any labelled text all get ``und``; of languages with equal means the first in code-point order is predicted;
 repeated rows repeat; other columns are ignored; an empty table stays empty.
 """
 
@@ -16,15 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import arrow_map, chunks, id_crc, text_buffers, text_or_empty
+from legajo.llm.common import arrow_map, chunks, drop_scratch, give_back, id_crc, low_marks, mark_of, sampled, text_buffers, text_or_empty, written
 from legajo.llm.convnet import ConvNet
 
 WINDOW, WIDTHS = 128, (2, 3, 4)
 STRIDE = WINDOW - max(WIDTHS) + 1
-PER_LANG, PASSAGE, EPOCHS = 400, 1500, 6
+PER_LANG, LANG_BYTES, ROW_BYTES, EPOCHS = 400, 1 << 20, 1 << 17, 6
 UNKNOWN = "und"
 
 
@@ -60,23 +61,24 @@ def window_probabilities(net: ConvNet, ids: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, allowed=None) -> Model | None:
     """Model from the rows with text, lang and ``allowed`` (a condition); None if there are none."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.where(allowed) if allowed is not None else rows
-    mark = F.xxhash64(F.col("doc_id").cast("string"), F.lit(5))
-    start = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(6)), F.greatest(F.lit(1), F.length("text") - PASSAGE)).cast("int") + 1
-    passages = rows.select("lang", mark.alias("mark"), F.substring(F.col("text"), start, F.lit(PASSAGE)).alias("text"))
-    order = Window.partitionBy("lang").orderBy("mark", "text")
-    sample = passages.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANG).orderBy("lang", "n").toPandas()
-    if sample.empty:
+    rows = docs.where(F.col("lang").isNotNull())
+    rows = (rows.where(allowed) if allowed is not None else rows).withColumn("mark", mark_of("doc_id", 5))
+    low = low_marks(rows.select("lang", "mark", "text"), "lang", PER_LANG, rows.select("lang", "mark")).where(F.col("text").rlike(r"\p{L}"))
+    one = low.groupBy("lang", "mark").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"))
+    kept = written(one.select("lang", "mark", F.octet_length("row.text").cast("long").alias("n"), "row.text"), "sample")
+    sample = sampled(kept, "lang", PER_LANG, LANG_BYTES, ROW_BYTES).sort_by([("lang", "ascending"), ("mark", "ascending")])
+    drop_scratch(kept)
+    if not sample.num_rows:
         return None
-    langs = sorted(sample["lang"].unique())
-    buffers, label = text_buffers(pa.array(sample["text"].tolist(), pa.string())), np.searchsorted(langs, sample["lang"])
+    langs = sorted(set(sample.column("lang").to_pylist()))
+    buffers, label = text_buffers(sample.column("text").combine_chunks()), np.searchsorted(langs, sample.column("lang").to_pylist())
     ids, row, room = windows(*buffers)
     keep = room >= np.minimum(48, np.diff(buffers[1])[row])  # no short last windows, but short texts
     ids, row = ids[keep].astype(np.int64), row[keep]
     net = ConvNet(257, 6, WIDTHS, 12, len(langs), seed=5)
     counts = np.bincount(label[row], minlength=len(langs))
     net.fit(list(ids), label[row], EPOCHS, rate=0.02, batch=128, weights=(len(row) / len(langs) / np.maximum(counts, 1))[label[row]])
+    give_back()
     return Model(langs, net)
 
 

@@ -6,7 +6,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from legajo.llm import langid, toxicity
+from legajo.llm.common import low_marks, mark_of, sampled
+from legajo.llm.convnet import ConvNet
 from legajo.llm.words import Words
 
 SYLLABLES = {"en": "th ing ea ou the and er".split(), "de": "sch ung ö ß ein der ch".split(), "es": "ción ñ que os ar la".split()}
@@ -70,7 +74,100 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.classify(docs.limit(5), labels.limit(0)).collect()} == {0.0}
 
 
-def test_groups_follow_common_words():
-    words = Words(pa.array(["the cat of that", "der die Hund", "", "los que por", "xyz"]), True, toxicity._BREAKS)
-    names = list(toxicity.COMMON_WORDS)
-    assert [names[g] if g < len(names) else "" for g in toxicity.groups(words)] == ["en", "de", "", "es", ""]
+def test_languages_are_learned_from_the_sample():
+    r = random.Random(3)
+    vocab = {"aa": [f"a{i}" for i in range(40)], "bb": [f"b{i}" for i in range(40)], "cc": [f"c{i}" for i in range(40)]}
+    rows = [(x, " ".join(r.choice(vocab[x]) for _ in range(20)) + " und") for x in vocab for _ in range(toxicity.LANG_DOCS + 5)] + [("rare", "zz zz")]
+    words = Words(pa.array([t for _, t in rows]), True, toxicity._BREAKS)
+    ids = toxicity.word_ids(words)
+    buckets = np.unique(ids)
+    model = toxicity.Model(buckets, None, np.zeros((len(buckets) + 1, 0)), np.array([0.5]))
+    known = model.known(ids)
+    model.odds = toxicity.language_odds([known[a:b] for a, b in zip(words.rows[:-1], words.rows[1:], strict=True)], [x for x, _ in rows], len(buckets) + 1)
+    assert model.odds.shape[1] == 3 and model.odds.dtype == np.float32
+    new = Words(pa.array(["a1 a2 unseen", "", "c3", "b1 B2 c3", "never"]), True, toxicity._BREAKS)
+    assert model.groups(model.known(toxicity.word_ids(new)), new.rows).tolist() == [0, 3, 2, 1, 3]
+
+
+def naive_forward(net, ids):
+    """Logits of one sequence, filter by filter."""
+    padded = [*ids, *[0] * (net.width - 1)]
+    best = []
+    for f in range(net.conv.shape[1]):
+        values = [sum(float(net.table[padded[i + w], d]) * float(net.conv[w * net.dim + d, f]) for w in range(net.width) for d in range(net.dim)) for i in range(len(ids))]
+        best.append(max(values) + float(net.bias[f]))
+    return np.array(best) @ net.dense.astype(float) + net.out
+
+
+def small_net():
+    net = ConvNet(12, 3, (1, 2, 3), 2, 3, seed=5)
+    net.bias += np.random.default_rng(1).normal(0, 0.1, net.bias.shape).astype(np.float32)
+    return net
+
+
+def test_forward_equals_a_naive_one():
+    net, r = small_net(), np.random.default_rng(2)
+    sequences = [r.integers(0, 12, n) for n in (7, 1, 30, 2, 4)]
+    gap = np.zeros(net.width - 1, int)
+    starts = np.cumsum([0, *[len(s) + len(gap) for s in sequences[:-1]]])
+    pooled = net.pooled(np.concatenate([np.concatenate([gap, s]) for s in sequences] + [gap]), starts)
+    want = [naive_forward(net, [*gap, *s]) for s in sequences]
+    assert np.allclose(pooled @ net.dense + net.out, want, atol=1e-5)
+
+
+def test_gradients_equal_differences():
+    net, r = small_net(), np.random.default_rng(4)
+    sequences, y = [r.integers(1, 12, n) for n in (5, 9, 3)], np.array([0, 2, 1])
+
+    def loss():
+        z = np.array([naive_forward(net, [*[0] * (net.width - 1), *s]) for s in sequences])
+        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(3), y]))
+
+    grads = net.gradients(sequences, y, np.ones(3, np.float32))
+    for name in ("conv", "bias", "dense", "out"):
+        value = getattr(net, name)
+        for at in list(np.ndindex(value.shape))[::5]:
+            if name == "conv" and not net.mask[at]:
+                assert grads[name][at] == 0
+                continue
+            old, step = value[at], 1e-2
+            value[at] = old + step
+            up = loss()
+            value[at] = old - step
+            down = loss()
+            value[at] = old
+            assert abs((up - down) / (2 * step) - grads[name][at]) < 2e-2
+    touched, rows = grads["table"]
+    for k, t in enumerate(touched.tolist()):
+        if t:
+            old = net.table[t, 1]
+            net.table[t, 1] = old + 1e-2
+            up = loss()
+            net.table[t, 1] = old - 1e-2
+            down = loss()
+            net.table[t, 1] = old
+            assert abs((up - down) / 2e-2 - rows[k, 1]) < 2e-2
+
+
+def test_samples_are_bounded_and_whole(spark):
+    rows = [(i, "ab"[i % 10 == 0], "x" * (i % 50)) for i in range(3000)] + [(1, "b", "x")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, kind string, text string").withColumn("mark", mark_of("doc_id", 1))
+    low = low_marks(df, "kind", 40)
+    one = low.groupBy("kind", "mark").agg(F.min("text").alias("text")).withColumn("n", F.length("text").cast("long"))
+    got = sampled(one, "kind", 40, 10_000, 45)
+    kinds = got.column("kind").to_pylist()
+    assert kinds.count("a") == 40 and kinds.count("b") == 40 and max(got.column("n").to_pylist()) <= 45
+    marks = {r.mark for r in df.where("kind = 'a' and length(text) <= 45").orderBy("mark").select("mark").distinct().orderBy("mark").limit(40).collect()}
+    assert {m for m, k in zip(got.column("mark").to_pylist(), kinds, strict=True) if k == "a"} == marks
+    assert sum(sampled(one, "kind", 40, 100, 45).column("n").to_pylist()) <= 200
+    assert sampled(one.limit(0), "kind", 40, 100, 45).num_rows == 0
+
+
+def test_scores_do_not_depend_on_neighbours(spark):
+    rows = [(i, t, lang, toxic) for i, t, lang, toxic in texts(300, 5)]
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows], "doc_id long, text string, lang string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, x) for i, _, _, x in rows], "doc_id long, toxic int"))
+    column = pa.array([t or "" for _, t, _, _ in rows] + [""])
+    together = toxicity.scores_of(model, column)
+    alone = [toxicity.scores_of(model, column.slice(i, 1))[0] for i in range(len(column))]
+    assert np.allclose(together, alone, atol=1e-6)
