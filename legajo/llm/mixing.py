@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.llm.common import arrow_map, text_or_empty, written
+from legajo.llm.common import arrow_map, free_names, text_or_empty, written
 from legajo.llm.words import WORD_SQL, Words, mix
 
-BLOCK, SHARDS, BUCKETS, SLICE = 256, 64, 1024, 1 << 16
+BLOCK, SHARDS, SLICE = 256, 64, 1 << 16
+#: Least number of a source's hash buckets, rows of a bucket beyond it, and slots that a task makes.
+BUCKETS, BUCKET_ROWS, TASK_SLOTS = 1024, 100_000, 1 << 19
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
 
 
@@ -100,7 +102,13 @@ def draw(slots: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text_or_empty(), F.lit(WORD_SQL)).cast("long").alias("size"))
+    """doc_id, source, size and row, a digest of id, source and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(text_or_empty(), F.lit(WORD_SQL)).cast("long").alias("size"), row_key().alias("row"))
+
+
+def row_key():
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "source", "text")]
+    return F.unhex(F.md5(F.concat_ws("\x01", *parts).cast("binary")))
 
 
 def _plan(rows: list, block: int, seed: int) -> list[tuple]:
@@ -136,34 +144,38 @@ def _slots(spark, plan: list[tuple], shards: int, seed: int) -> DataFrame:
                 same = lambda v, t: pa.array(np.full(len(j), v), t)
                 yield pa.RecordBatch.from_pydict({"shard": same(r["shard"], pa.int32()), "slot": pa.array(r["slot"] + r["k"] + np.arange(len(j)), pa.int64()), "sid": same(r["sid"], pa.int32()), "block": pa.array(index, pa.int64()), "words": pa.array(words, pa.int64())})
 
-    return arrow_map(cut.repartition("shard", "sid", "k"), run, "shard int, slot long, sid int, block long, words long")
+    # the seeds are tiny, the slots are not: their number decides how many tasks make them
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(counts.sum()) // TASK_SLOTS))
+    return arrow_map(cut.repartition(tasks, "shard", "sid", "k"), run, "shard int, slot long, sid int, block long, words long")
 
 
 def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 8) -> tuple[DataFrame, DataFrame]:
     """The documents with their place in their source and its target, and the taken pieces.
 
-    Documents: doc_id, size, sid, source_size, target, source, bucket and nth (with sid, its key), nth_alike (among rows of the same id,
-    source and size) and start (first word in the source).
+    Documents: doc_id, size, sid, source_size, target, source, row, bucket and nth (with sid, its key), copy (number among rows of the same id,
+    source and text) and start (first word in the source).
     Pieces: the same with shard, slot, from and to (words of the document, from <= to); documents that nothing is taken of have one piece without shard.
+    Buckets grow in number with the rows; rows equal in id, source and text share one.
     """
     spark, slim = docs.sparkSession, written(sized(docs), "sizes")
-    plan = _plan(slim.groupBy("source").agg(F.sum("size").alias("size")).collect(), BLOCK, seed)
+    plan = _plan((sums := slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()), BLOCK, seed)
+    buckets = max([BUCKETS, *[-(-r.n // BUCKET_ROWS) for r in sums]])
     table = spark.createDataFrame([(s, i, n, t) for s, i, n, t, *_ in plan], "name string, sid int, source_size long, target double")
     named = slim.join(table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    named = named.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(BUCKETS)).cast("int"))
+    named = named.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row", F.lit(3)), F.lit(buckets)).cast("int"))
     sums = named.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).drop("n")
-    order = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size")
+    order = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size", "row")
     inner = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     placed = named.withColumn("upto", inner).withColumn("nth", F.row_number().over(order))
-    placed = placed.withColumn("nth_alike", F.row_number().over(Window.partitionBy("sid", "bucket", "doc_id", "size").orderBy("nth"))).join(sums, ["sid", "bucket"])
-    placed = placed.select("doc_id", "size", "sid", "source_size", "target", "source", "bucket", "nth", "nth_alike", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
+    placed = placed.withColumn("copy", F.row_number().over(Window.partitionBy("sid", "bucket", "doc_id", "row").orderBy("nth"))).join(sums, ["sid", "bucket"])
+    placed = placed.select("doc_id", "size", "sid", "source_size", "target", "source", "row", "bucket", "nth", "copy", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
     first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     blocks = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     # Both sides grow with the corpus, whatever the planner makes of the slots' small seed table: never broadcast.
     joined = blocks.join(_slots(spark, plan, shards, seed).hint("merge"), ["sid", "block"], "left")
     origin = F.col("block") * BLOCK - F.col("start")
-    pieces = joined.select("doc_id", "size", "sid", "source_size", "target", "source", "bucket", "nth", "nth_alike", "shard", "slot", F.greatest(F.lit(0), origin).alias("from"), F.least("size", origin + F.col("words")).alias("to"))
+    pieces = joined.select("doc_id", "size", "sid", "source_size", "target", "source", "row", "bucket", "nth", "copy", "shard", "slot", F.greatest(F.lit(0), origin).alias("from"), F.least("size", origin + F.col("words")).alias("to"))
     return placed, pieces.withColumn("to", F.when(F.col("shard").isNotNull(), F.greatest("to", "from")))
 
 
@@ -191,22 +203,25 @@ def chosen(begin: list[int], end: list[int]) -> list[list[tuple[int, int]]]:
 def mixed_texts(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with the taken words as text: pieces keep their white space, a whole text stays as it is.
 
-    Rows that share id, source and size get the pieces of one of them; rows that nothing is taken of go.
+    Rows are told apart by id, source and text; of rows equal in all three each gets pieces of its own. Rows that nothing is taken of go.
     """
     names = docs.columns
     at = names.index("text")
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     _, pieces = mix_documents(docs)
-    taken = pieces.where("shard is not null and to > from and nth_alike = 1")
-    taken = taken.groupBy("doc_id", "source", "size").agg(F.collect_list(F.struct("from", "to")).alias("p"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.transform("p", lambda x: x["from"]).alias("_begin"), F.transform("p", lambda x: x["to"]).alias("_end"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.regexp_count(text_or_empty(), F.lit(WORD_SQL)) == F.col("_size"))
-    joined = docs.join(taken.hint("shuffle_hash"), same).drop("_id", "_source", "_size")
+    taken = pieces.where("shard is not null and to > from").groupBy("row", "copy").agg(F.collect_list(F.struct("from", "to")).alias("p"))
+    taken = taken.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("copy", "p"))).alias("p"))
+    row, copy, piece, begins, ends = free_names(docs, "row", "copy", "piece", "begin", "end")
+    taken = taken.select(F.col("row").alias(row), F.col("p").alias(piece))
+    # rows and their copies' pieces meet by digest, where equal rows are numbered without another shuffle
+    joined = docs.withColumn(row, row_key()).join(taken.hint("merge"), row)
+    joined = joined.withColumn(copy, F.row_number().over(Window.partitionBy(row).orderBy(row))).withColumn(piece, F.col(piece)[F.col(copy)]).where(F.col(piece).isNotNull())
+    joined = joined.select(*names, F.transform(piece, lambda x: x["from"]).alias(begins), F.transform(piece, lambda x: x["to"]).alias(ends))
 
     def run(batches):
         for batch in batches:
             texts = []
-            for text, begin, end in zip(batch.column(at), batch.column("_begin").to_pylist(), batch.column("_end").to_pylist(), strict=True):
+            for text, begin, end in zip(batch.column(at), batch.column(begins).to_pylist(), batch.column(ends).to_pylist(), strict=True):
                 words = Words(pa.array([text.as_py()], pa.string()), False)
                 raw, n = words.data.tobytes(), len(words.starts)
                 parts = []
