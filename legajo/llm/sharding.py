@@ -1,8 +1,8 @@
 """Operator 1: sharding by vector bin packing of bytes, tokens and rows.
 
 Groups of equal texts are the things to pack. Light groups are gathered by hash into a fixed number of cells; a group
-that holds more than ``1 / (shards * PIECES)`` of all bytes, tokens or rows is split by a hash of its ids into pieces about that
-large, so a group of copies never has to fit one shard. Fewer than ``3 * shards * PIECES`` groups can be that heavy, so
+that holds more than ``1 / (shards * PIECES)`` of all bytes, tokens or rows is split into pieces about that large by a hash of its ids, or of
+row numbers that are stored with the sizes where one id holds more than a piece, so a group of copies never has to fit one shard. Fewer than ``3 * shards * PIECES`` groups can be that heavy, so
 the items (cells and pieces) that the driver packs are bounded by parameters, whatever the input. Largest first, each
 item goes to the shard where the dot product of its (bytes, tokens, rows) with the residual capacity is highest; the weights let
 bytes lead. The law is ``bytes``: shards get nearly equal sizes.
@@ -50,7 +50,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, tokens, text_crc32, law, shard, slot, grown_shard of every row."""
-    spark, slim = docs.sparkSession, written(measured(docs), "sizes")
+    spark, slim = docs.sparkSession, written(measured(docs).withColumn("mark", F.monotonically_increasing_id()), "sizes")
     sums = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")]
     total = slim.agg(*sums).first()
     cells, parts = shards * CELLS_PER_SHARD, shards * PIECES
@@ -59,10 +59,14 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     first, rows = cells, []
     for h in heavy:
         n = int(min(h.r, np.ceil(h.share)))
-        rows.append((h.grp, first, n))
+        rows.append((h.grp, first, n, h.r))
         first += n
-    split = spark.createDataFrame(rows, "grp long, first long, pieces long")
-    piece = F.col("first") + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("pieces"))
+    # fewer than 3 * parts groups, and fewer than twice as many ids that hold more than a piece's rows, whatever the input
+    split = spark.createDataFrame(rows, "grp long, first long, pieces long, rows long")
+    crowds = slim.join(F.broadcast(split), "grp").groupBy("grp", "doc_id", "pieces", "rows").agg(F.count("*").alias("n")).where("n > 1 and n * pieces > rows")
+    crowds = spark.createDataFrame(crowds.select("grp", "doc_id").collect(), "grp long, doc_id long").select(F.col("grp").alias("_grp"), F.col("doc_id").alias("_id"), F.lit(True).alias("crowd"))
+    slim = slim.join(F.broadcast(crowds), (F.col("grp") == F.col("_grp")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_grp", "_id")
+    piece = F.col("first") + F.pmod(F.when(F.col("crowd"), F.xxhash64("mark", F.lit(1))).otherwise(F.xxhash64("doc_id", F.lit(1))), F.col("pieces"))
     item = F.coalesce(piece, F.pmod(F.xxhash64("grp", F.lit(2)), F.lit(cells)))
     placed = slim.join(F.broadcast(split), "grp", "left").withColumn("item", item)
     found = placed.groupBy("item").agg(*sums).orderBy("item").collect()

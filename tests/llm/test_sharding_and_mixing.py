@@ -40,6 +40,35 @@ def test_shards(spark):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_copies_of_one_id_are_dealt_over_shards(spark):
+    r = random.Random(8)
+    rows = [(7, "the same row " * 20)] * 3000 + [(None, "no id " * 30)] * 2000 + [(i, "w " * r.randrange(1, 200)) for i in range(3000)] + [(4000, "very long " * 200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8).collect()
+    assert Counter(x.doc_id for x in got) == Counter(i for i, _ in rows)
+    load, slots = Counter(), defaultdict(list)
+    for x in got:
+        load[x.shard] += x["size"]
+        slots[x.shard].append(x.slot)
+    assert max(load.values()) < 1.05 * min(load.values()) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_mixed_texts_tell_rows_of_one_id_apart(spark):
+    rows = [(1, "a b c d e f g", "s"), (1, "a b c d e f h", "s"), (1, "a b c d e f g", "s"), (1, "a b c d e f g", "t"), (None, "q " * 300, "s"), (None, "r " * 300, None), (3, "w " * 9000, "t"), (4, None, "s"), (5, "", "t")]
+    docs = spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "doc_id long, text string, source string, _row long").repartition(3)
+    size = lambda t: len(WORD.findall(t or ""))
+    taken = Counter()
+    for x in mixing.mixture(docs).collect():
+        taken[x.doc_id, x["size"]] += x.taken
+    out = mixing.mixed_texts(docs)
+    assert out.columns == docs.columns
+    got, old = Counter(), Counter()
+    for x in out.collect():
+        text, (i, t, s) = x.text, rows[x["_row"]]
+        assert x.doc_id == i and x.source == s and set(WORD.findall(text)) <= set(WORD.findall(t)) and 0 < size(text) <= 2 * size(t)
+        got[i, size(t)] += size(text)
+    assert got == Counter({k: n for k, n in taken.items() if n}) and sum(got.values()) == round(1.5 * sum(size(t) for _, t, _ in rows))
+
+
 def test_pack_is_greedy_by_dot_product():
     items = np.random.default_rng(2).integers(1, 100, (80, 3)).astype(float)
     where = sharding.pack(items, 5, (1, 1, 1))
