@@ -2,16 +2,19 @@
 
 Free style (mapInArrow, no shuffle). Short documents are encoded whole. A document beyond ``chunk`` characters
 is encoded in overlapping chunks with offsets; two neighbours are spliced at a boundary that both encodings
-have inside the overlap and that is proven stable, i.e. it starts a pre-token: a space or newline run's
-last blank before a letter, past the first blank of the overlap, so no rule of the pre-tokeniser can look
-across it. If no such boundary aligns, the overlap doubles, at last to the whole rest. Null texts count
-as empty (0 tokens); repeated rows and ids repeat; other columns are ignored; an empty table stays empty.
+have inside the overlap and that is proven stable (``Boundaries``): the pre-tokeniser splits there whatever stands further off. If no such
+boundary aligns, the overlap doubles; if none does in the whole chunk, the chunk itself doubles, so a stretch without any boundary (one
+huge word) is encoded in one piece and nothing else is. Null texts count as empty (0 tokens); repeated rows and ids repeat; other columns
+are ignored; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,36 +40,75 @@ def _library(path: str):
     return library
 
 
-def stable(text: str, at: int) -> bool:
-    """Whether every pre-token split of a text that covers ``at`` has a boundary there.
+@lru_cache(maxsize=2)
+def _boundaries(path: str) -> Boundaries:
+    return Boundaries(path)
+
+
+def _class(c: str) -> str:
+    """s (blank), L (letter), N (number) or O of a character; empty where Unicode versions may differ."""
+    if c.isspace():
+        return "s"
+    now, then = unicodedata.category(c)[0], unicodedata.ucd_3_2_0.category(c)[0]
+    return "" if now != then or now == "C" else now if now in "LN" else "O"
+
 
-    Holds at an ASCII letter's single blank, itself after an ASCII letter: the run before ends there and
-    the blank opens the next pre-token, whatever stands further off.
+class Boundaries:
+    """Stable boundaries of one vocabulary's pre-tokeniser.
+
+    The byte-level scheme's words are an optional space and a run of letters, of numbers or of others, a contraction (an apostrophe and
+    letters) or a run of blanks. Whatever stands around, a word that has a letter at its end ends before what is no letter; one that has a number at its
+    end ends before what is no number; a run of others ends before a letter, number or blank, unless its last is an apostrophe, which may begin a contraction.
+    Blanks may belong to what follows them, so no boundary after one is used. For other schemes only a single space between two ASCII letters counts.
+    Special strings of the vocabulary are cut out first, so nothing near one counts.
     """
-    return 0 < at < len(text) - 1 and text[at] == " " and text[at - 1].isascii() and text[at - 1].isalpha() and text[at + 1].isascii() and text[at + 1].isalpha()
+
+    def __init__(self, path: str):
+        spec = json.loads(Path(path).read_text(encoding="utf-8")) if path.endswith(".json") else {}
+        scheme = spec.get("pre_tokenizer") or {}
+        self.by_class = scheme.get("type") == "ByteLevel" and bool(scheme.get("use_regex", True)) and not scheme.get("add_prefix_space") and not spec.get("normalizer")
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+
+    def stable(self, text: str, at: int) -> bool:
+        """Whether every split of a text that covers ``at`` and its neighbours has a boundary there."""
+        if not 0 < at < len(text) - 1:
+            return False
+        a, b = text[at - 1], text[at]
+        if not self.by_class:
+            fine = b == " " and a.isascii() and a.isalpha() and text[at + 1].isascii() and text[at + 1].isalpha()
+        else:
+            x, y = _class(a), _class(b)
+            fine = bool(x and y) and x != "s" and x != y and not (a == "'" and x == "O")
+        return fine and not any(s in text[max(0, at - len(s) - 2) : at + len(s) + 2] for s in self.special)
+
+    def within(self, text: str, start: int, stop: int) -> list[int]:
+        return [i for i in range(max(1, start), min(stop, len(text) - 1)) if self.stable(text, i)]
 
 
-def count_long(library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+def count_long(library, text: str, boundaries: Boundaries, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of a long text from overlapping chunks; equals the count of the whole text."""
-    total, at = 0, 0
-    left = library.encode(text[:chunk], add_special_tokens=False).offsets
+    total, at, skip = 0, 0, 0  # skip: characters of the chunk that an earlier one has counted
     end = min(chunk, len(text))
-    skip = 0  # characters of the chunk that an earlier one has counted
+    left = library.encode(text[:end], add_special_tokens=False).offsets
     while end < len(text):
-        wide, cut = overlap, None
-        while cut is None and end - wide > at + skip:
-            start = end - wide
-            stop = min(len(text), start + max(chunk, 2 * wide))
-            right = library.encode(text[start:stop], add_special_tokens=False).offsets
-            ours = {a + at for a, _ in left}
-            both = [a + start for a, _ in right if a + start in ours and start + 1 < a + start < end - 1 and stable(text, a + start)]
-            cut = both[len(both) // 2] if both else None
-            if cut is None:
-                wide *= 2
-        if cut is None:  # nothing to splice at: the rest in one piece
-            start, stop = at, len(text)
-            left = library.encode(text[start:], add_special_tokens=False).offsets
-            end = stop
+        wide, cut, looked = overlap, None, end
+        while cut is None:
+            start = max(end - wide, at + skip)
+            places = boundaries.within(text, start + 2, min(looked, end - 1))
+            looked = start + 2
+            if places:
+                stop = min(len(text), start + max(chunk, 2 * (end - start)))
+                right = library.encode(text[start:stop], add_special_tokens=False).offsets
+                # a token's offset may leave out the space before it
+                ours, theirs = ({x for a, b in got for x in (a + at_, b + at_)} for got, at_ in ((left, at), (right, start)))
+                both = [p for p in places if p in ours and p in theirs]
+                cut = both[len(both) // 2] if both else None
+            if start == at + skip:
+                break
+            wide *= 2
+        if cut is None:  # nothing to splice at: a longer chunk
+            end = min(len(text), at + 2 * (end - at))
+            left = library.encode(text[at:end], add_special_tokens=False).offsets
             continue
         total += sum(1 for a, _ in left if skip <= a and a + at < cut)
         left, at, end, skip = right, start, stop, cut - start
@@ -87,7 +129,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, ch
             for i, e in zip(short, library.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
                 counts[i] = len(e)
             for i in set(range(len(texts))) - set(short):
-                counts[i] = count_long(library, texts[i], chunk, overlap)
+                counts[i] = count_long(library, texts[i], _boundaries(path), chunk, overlap)
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),

@@ -44,7 +44,53 @@ def test_spliced_counts_equal_whole_counts(library, chunk, overlap):
     words = ["the", "naïve", "Straße", "12,5", "東京", "😀", "<|endoftext|>", "it's", "\n\n", "a" * 90]
     long = " ".join(r.choice(words) for _ in range(900))
     for text in [*TEXTS, *random_texts(60), long, "x" * 3000, "\n" * 3000]:
-        assert token_count.count_long(library, text, chunk, overlap) == len(library.encode(text, add_special_tokens=False).ids)
+        assert token_count.count_long(library, text, token_count.Boundaries(bpe.vocabulary_path()), chunk, overlap) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+class Watched:
+    def __init__(self, library):
+        self.library, self.sizes = library, []
+
+    def encode(self, text, **options):
+        self.sizes.append(len(text))
+        return self.library.encode(text, **options)
+
+
+@pytest.mark.parametrize("kind", ["cyrillic", "chinese", "accents", "digits", "latin"])
+def test_huge_texts_are_encoded_in_bounded_chunks(library, kind):
+    r = random.Random(6)
+    word = {
+        "cyrillic": lambda: "".join(r.choice("абвгдежзийклмн") for _ in range(r.randrange(1, 12))) + " ",
+        "chinese": lambda: "".join(r.choice("東京中国人大学生日本語") for _ in range(r.randrange(3, 40))) + r.choice("，。"),
+        "accents": lambda: r.choice(["é'é", "it's", "l’été", "'t", "e\u0301", "ñ12", " \n\n "]),
+        "digits": lambda: str(r.randrange(10**6)) + r.choice([".", " ", "'"]),
+        "latin": lambda: r.choice(["word", "Other", "<|endoftext|>"]) + " ",
+    }[kind]
+    text = ""
+    while len(text) < 400_000:
+        text += "".join(word() for _ in range(1000))
+    watched = Watched(library)
+    got = token_count.count_long(watched, text, token_count.Boundaries(bpe.vocabulary_path()), 1 << 14, 256)
+    assert got == len(library.encode(text, add_special_tokens=False).ids)
+    assert max(watched.sizes) <= 1 << 14 and sum(watched.sizes) < 1.3 * len(text)
+
+
+def test_a_stretch_without_boundary_is_one_chunk(library):
+    text = "some words here " * 3000 + "x" * 100_000 + " and some more" * 3000
+    watched = Watched(library)
+    got = token_count.count_long(watched, text, token_count.Boundaries(bpe.vocabulary_path()), 1 << 12, 256)
+    assert got == len(library.encode(text, add_special_tokens=False).ids)
+    assert max(watched.sizes) < 300_000 and sum(watched.sizes) < 5 * len(text)
+
+
+def test_long_words_equal_the_library(library):
+    r = random.Random(9)
+    own = bpe.SegmentTreeBpe(bpe.vocabulary_path())
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = ["".join(r.choice(letters) for _ in range(n)) for n in (513, 1024, 1025, 60_000)] + ["a" * 5000, "ab" * 700, "東京中国" * 400, "=-" * 1000]
+    for w, ids in zip(words, own.encode_batch(words), strict=True):
+        assert ids.tolist() == library.encode(w, add_special_tokens=False).ids
+    assert not any(len(w) > bpe.LONG for w in own.cache)
 
 
 def test_queries_on_odd_rows(spark, library):
