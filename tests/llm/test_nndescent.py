@@ -68,7 +68,7 @@ def groups(seed, size, count, dim=24, inner=0.99, cross=0.93):
     return [(int(i), [float(c) for c in v]) for i, v in zip(ids, rows, strict=True)]
 
 
-@pytest.mark.parametrize("size,count,cross", [(45, 2, 0.93)])
+@pytest.mark.parametrize("size,count,cross", [(45, 2, 0.93), (100, 2, 0.905), (40, 5, 0.92)])
 def test_links_across_saturated_groups(spark, size, count, cross):
     rows = groups(3, size, count, cross=cross)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
