@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.llm import bpe, jaccard, mixing, substring, toxicity
-from legajo.llm.common import drop_scratch, id_crc, written
+from legajo.llm.common import drop_scratch, free_names, id_crc, written
+from legajo.llm.words import WORD_SQL
 from legajo.sources.tables import read_table
 
 
@@ -21,14 +22,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the least id; rows that share an id are one document."""
-    found = jaccard.join_components(docs)
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    known = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(left.where("doc_id is null"))
+    """One row of each component of linked rows: the one with the least id (null last), then the least digest of id and text.
+
+    Rows are told apart by id and text, so rows that share an id are judged one by one; of rows equal in both, one stays.
+    Rows without words link with nothing and all stay.
+    """
+    wordy = F.coalesce(F.col("text").rlike(WORD_SQL), F.lit(False))
+    (row,) = free_names(docs, "row")
+    keyed = docs.where(wordy).withColumn(row, F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")).cast("binary"))))
+    found = jaccard.join_components(keyed, row=row)
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
+    stays = first.select(F.col("first.row").alias(row))
+    left = keyed.join(stays.hint("shuffle_hash"), row, "left_semi").dropDuplicates([row]).select(docs.columns)
+    return left.unionByName(docs.where(~wordy))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
