@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -66,6 +67,19 @@ def test_stages(spark, sf_dir, tmp_path):
     assert rows(corpus_pipeline.run(spark, sf_dir)) == rows(docs)
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    t, u, v = ("one two three four five six seven " * 3, "apple pear plum fig " * 4, " ".join(f"v{i}" for i in range(60)))
+    rows = [(1, t), (5, t), (5, u), (7, v), (7, v + " more"), (None, t), (9, ""), (9, ""), (None, None), (8, " "), (2, u), (2, u), (None, "alone in the world")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, comp long").repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert sum(n for (i, x), n in got.items() if i == 7) == 1
+    assert got - Counter([(7, v), (7, v + " more")]) == Counter([(1, t), (2, u), (9, ""), (9, ""), (None, None), (8, " "), (None, "alone in the world")])
+    mixed = corpus_pipeline.mix_sources(spark, docs.withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text")), "")
+    assert mixed.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == round(1.5 * sum(len(WORD.findall(x or "")) for _, x in rows))
+
+
 def test_empty_tables(spark, sf_dir, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
