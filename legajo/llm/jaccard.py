@@ -254,11 +254,13 @@ def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: i
     star = live.join(first, "token").where((F.col("set") != F.col("f.set")) & _may_link(F.col("n"), F.col("pos"), F.col("f.n"), F.col("f.pos"), num, den))
     pairs = _plausible(star.select(F.col("f.set").alias("a"), F.col("set").alias("b")).distinct(), sigs, num, den)
     nearest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m"))  # others wait for round two
-    tried = written(nearest.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct(), "pairs", True)
-    found = written(_differing(tried, _wanted(docs, tried, rows, k)), "links", True)
-    found = found.where(_links(F.col("diff"), F.col("size"), num, den))
-    links, ends = found.select("a", "b"), found.select("a", "b", "diff").union(found.select("b", "a", "diff")).join(nearest.select("b", "m.a").toDF("b", "a"), ["a", "b"], "left_semi")
-    hubs = ends.select(F.col("b").alias("set"), F.col("a").alias("hub"), F.col("diff").alias("off"))
+    nearest = written(nearest.select(F.col("b").alias("set"), F.col("m.a").alias("hub")), "nearest", True)
+    tried = nearest.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
+    found = _differing(tried, _wanted(docs, tried, rows, k)).where(_links(F.col("diff"), F.col("size"), num, den))
+    found = written(found, "links", True)
+    links = found.select("a", "b")
+    ends = found.select(F.col("a").alias("set"), F.col("b").alias("hub"), F.col("diff").alias("off")).union(found.select("b", "a", "diff"))
+    hubs = written(ends.join(nearest, ["set", "hub"], "left_semi"), "hubs", True)
     label = components(links)
 
     # Round two: pairs across components within a list, block by block.
