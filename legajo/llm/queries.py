@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from legajo.llm import bpe, jaccard, langid, media, mixing, nndescent, sharding, substring, token_count, toxicity
+from legajo.llm import bpe, jaccard, langid, media, mixing, nndescent, oracle, sharding, substring, token_count, toxicity
 from legajo.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,4 +58,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return oracle.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
