@@ -28,6 +28,8 @@ def analyze(df: DataFrame, as_of: str | None = None) -> DataFrame:
     A missing doc_type is told from the text.
     """
     told = df.withColumn("doc_type", F.coalesce("doc_type", F.expr(decisions.doc_type("text"))))
+    # A generator of one row each: no projection goes through it, so a union of sources below it isn't multiplied by the families.
+    told = told.select(F.inline(F.array(F.struct(*told.columns))))
     out = None
     for family in FAMILIES:
         part = analyze_family(told.where(F.col("doc_type") == family), family, as_of).select(*RESULT, F.to_json("datos").alias("datos"))
