@@ -15,13 +15,19 @@ SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _POWERS: dict[int, np.ndarray] = {}
 
 
+#: Powers that a worker remembers; what longer texts need goes with them.
+_MOST_POWERS = (1 << 20) + 1024
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    if base not in _POWERS or len(_POWERS[base]) < n:
-        grown = np.full(max(n, 1 << 16), base, np.uint64)
-        grown[0] = 1
-        np.multiply.accumulate(grown, out=grown)
+    if base in _POWERS and len(_POWERS[base]) >= n:
+        return _POWERS[base][:n]
+    grown = np.full(max(n, 1 << 16), base, np.uint64)
+    grown[0] = 1
+    np.multiply.accumulate(grown, out=grown)
+    if len(grown) <= _MOST_POWERS:
         _POWERS[base] = grown
-    return _POWERS[base][:n]
+    return grown[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
