@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 def run_matrix(images: DataFrame, engines: list[str], modes: list[str], ocr: Callable[[str, str, bytes], dict]) -> DataFrame:
     """One row for each image (path, content), engine and mode; a failure is a row with success = false.
 
-    ``ocr(engine, mode, content)`` returns text and confidence. Engines times modes is a constant, so this multiplies
-    rows by a fixed factor.
+    ``ocr(engine, mode, content)`` returns text and confidence; engines that nobody knows are passed over. Engines times modes is a
+    constant, so this multiplies rows by a fixed factor.
     """
+    engines = [e for e in engines if e in ENGINES]
+    if not engines or not modes:
+        return images.sparkSession.createDataFrame([], RUNS)
     plan = [F.struct(F.lit(e).alias("engine"), F.lit(m).alias("preprocess_mode"), F.lit(i * len(modes) + j).alias("ordinal")) for i, e in enumerate(engines) for j, m in enumerate(modes)]
     cells = images.select("path", "content", F.explode(F.array(*plan)).alias("run")).select("path", "content", "run.*")
 
@@ -34,6 +37,8 @@ def run_matrix(images: DataFrame, engines: list[str], modes: list[str], ocr: Cal
     return cells.mapInPandas(run, RUNS)
 
 
+#: Engines that runs can name (fixed values).
+ENGINES = ("tesseract", "google_vision")
 RUNS = "path string, engine string, preprocess_mode string, text string, confidence double, processing_time double, success boolean, error string, ordinal int"
 
 
