@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from legajo.functions import checks, dates, fixed
 from legajo.functions import text as T
 from legajo.operators import decisions, fiscal, identity, vehicle
-from legajo.plans import compare, synthetic
+from legajo.plans import cases, compare, synthetic
 from legajo.plans.pipeline import analyze, analyze_family, date_expr
 from legajo.plans.synthetic import AS_OF
 from legajo.sources.images import word_confidence
@@ -22,11 +22,11 @@ _SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | cases.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | cases.SQL
 
 
 def add(name: str, query: Query, sql: str) -> None:
@@ -124,16 +124,25 @@ add("l1_lines", project("documents", "doc_id", f"size({SPARK_L}) as n"), f"selec
 add("l2_kept_lines", project("documents", "doc_id", f"size({T.kept_lines('text')}) as n"), f"select doc_id, cast(len({KEPT}) as int) as n from documents")
 add("l3_label_lines", project("documents", "doc_id", f"size(filter({SPARK_L}, l -> {T.any_of('l', ['The', 'Die', 'Les'])})) as n"), f"select doc_id, cast(len(list_filter({L}, lambda x: contains(x, 'The') or contains(x, 'Die') or contains(x, 'Les'))) as int) as n from documents")
 add("l4_coded_label", project("documents", "doc_id", f"size(filter({SPARK_L}, l -> {T.matches('l', r'(?-u)[Ll]icensed\s+under')})) as n"), f"select doc_id, cast(len(list_filter({L}, lambda x: regexp_matches(x, '[Ll]icensed\\s+under'))) as int) as n from documents")
-hit = f"filter({T.indexes(SPARK_L)}, i -> contains(get({SPARK_L}, i), 'th'))"
-add("l5_next_line", project("documents", "doc_id", f"get({SPARK_L}, get({hit}, 0) + 1) as next"), f"select doc_id, {L}[list_position(list_transform({L}, lambda x: contains(x, 'th')), true) + 1] as next from documents where list_position(list_transform({L}, lambda x: contains(x, 'th')), true) > 0 union all select doc_id, null from documents where coalesce(list_position(list_transform({L}, lambda x: contains(x, 'th')), true), 0) = 0")
+hits = lambda array, word: f"filter({T.indexes(array)}, i -> contains(get({array}, i), '{word}'))"
+duck_hits = lambda array, word: f"list_filter(range(1, len({array}) + 1), lambda i: contains({array}[i], '{word}'))"
+add(
+    "l5_next_line",
+    project("documents", "doc_id", f"array_join(transform(filter({hits(SPARK_L, 'th')}, i -> i + 1 < size({SPARK_L})), i -> get({SPARK_L}, i + 1)), '|') as next"),
+    f"select doc_id, coalesce(array_to_string(list_transform(list_filter({duck_hits('l', 'th')}, lambda i: i < len(l)), lambda i: l[i + 1]), '|'), '') as next from (select doc_id, {L} as l from documents)",
+)
 kept = f"(select conv_id, turn, {KEPT} as k from conversations)"
-add("l6_next_value", project("conversations", "conv_id", "turn", f"get({T.kept_lines('text')}, 1) as next"), f"select conv_id, turn, k[2] as next from {kept}")
-stops = "lambda x, i: x = '' or (i > 1 and (contains(upper(x), 'THE') or contains(upper(x), 'QUE')))"
-tail = f"(select conv_id, turn, list_transform({L}, lambda x: {STRIP('x')})[2:] as t from conversations)"
+add(
+    "l6_next_value",
+    lambda spark, sf_dir: read_table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{T.kept_lines('text')} as k").selectExpr("conv_id", "turn", f"array_join(transform(filter({hits('k', 'a')}, i -> i + 1 < size(k)), i -> get(k, i + 1)), '|') as next"),
+    f"select conv_id, turn, coalesce(array_to_string(list_transform(list_filter({duck_hits('k', 'a')}, lambda i: i < len(k)), lambda i: k[i + 1]), '|'), '') as next from {kept}",
+)
+stops = "lambda x, j: x = '' or (j > 1 and (contains(upper(x), 'THE') or contains(upper(x), 'QUE')))"
+cut = f"coalesce(nullif(list_position(list_transform(t[i + 1:], {stops}), true), 0), len(t) + 1)"
 add(
     "l7_gather",
-    project("conversations", "conv_id", "turn", f"{T.gather(f'transform({SPARK_L}, l -> {T.strip("l")})', '1', ['THE', 'QUE'])} as block"),
-    f"select conv_id, turn, coalesce(array_to_string(case when coalesce(list_position(list_transform(t, {stops}), true), 0) = 0 then t else t[1:list_position(list_transform(t, {stops}), true) - 1] end, ' '), '') as block from {tail}",
+    lambda spark, sf_dir: read_table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"transform({SPARK_L}, l -> {T.strip('l')}) as t").selectExpr("conv_id", "turn", f"array_join(transform({hits('t', 'a')}, i -> {T.gather('t', '(i + 1)', ['THE', 'QUE'])}), '|') as block"),
+    f"select conv_id, turn, coalesce(array_to_string(list_transform({duck_hits('t', 'a')}, lambda i: array_to_string(t[i + 1:i + {cut} - 1], ' ')), '|'), '') as block from (select conv_id, turn, list_transform({L}, lambda x: {STRIP('x')}) as t from conversations)",
 )
 add("l10_same_line", project("documents", "doc_id", f"{T.group('text', r'(?iud)licensed\s+(.+)')} as tail"), "select doc_id, nullif(regexp_extract(text, '(?i)licensed\\s+(.+)', 1), '') as tail from documents")
 add("l11_first_match", project("documents", "doc_id", f"{T.group('text', '([0-9]{3,})')} as found"), "select doc_id, nullif(regexp_extract(text, '([0-9]{3,})', 1), '') as found from documents")
@@ -142,9 +151,10 @@ add("l15_last_hit", project("documents", "doc_id", f"{T.last(f'filter({SPARK_L},
 add("l16_first_hit", project("documents", "doc_id", f"{T.first(f'filter({SPARK_L}, l -> contains(l, {T.lit("on")}))')} as line"), f"select doc_id, list_filter({L}, lambda x: contains(x, 'on'))[1] as line from documents")
 add("l17_range_parse", project("documents", "doc_id", f"{T.in_range(T.group('text', '([0-9]{3,5})'), 'int', 500, 50000)} as number"), "select doc_id, case when try_cast(regexp_extract(text, '([0-9]{3,5})', 1) as int) between 500 and 50000 then try_cast(regexp_extract(text, '([0-9]{3,5})', 1) as int) end as number from documents")
 add("l18_range_date", project("orders", "o_orderkey", f"{dates.dash_iso('date_format(o_orderdate, ' + T.lit('dd-MM-yyyy') + ')', '1993', '1997')} as iso"), f"select o_orderkey, case when year(o_orderdate) between 1993 and 1997 then {ISO('o_orderdate')} end as iso from orders")
-first_line = f"get({SPARK_L}, 0)"
-add("l19_token_filter", project("documents", "doc_id", f"{T.without_mixed_tokens(first_line)} as line"), f"select doc_id, array_to_string(list_filter(regexp_split_to_array({STRIP(L + '[1]')}, '\\s+'), lambda x: not (regexp_matches(x, '[0-9]') and regexp_matches(x, '\\p{{L}}'))), ' ') as line from documents")
-add("l20_leading_letter", project("documents", "doc_id", f"{T.without_leading_letter(first_line)} as line"), f"select doc_id, regexp_replace(regexp_replace({STRIP(L + '[1]')}, '\\s+', ' ', 'g'), '^\\S( |$)', '') as line from documents")
+each_line = lambda e: f"array_join(transform({SPARK_L}, l -> {e}), '\n') as lines"
+duck_lines = lambda e: f"select doc_id, array_to_string(list_transform({L}, lambda l: {e}), chr(10)) as lines from documents"
+add("l19_token_filter", project("documents", "doc_id", each_line(T.without_mixed_tokens("l"))), duck_lines(f"array_to_string(list_filter(regexp_split_to_array({STRIP('l')}, '\\s+'), lambda x: not (regexp_matches(x, '[0-9]') and regexp_matches(x, '\\p{{L}}'))), ' ')"))
+add("l20_leading_letter", project("documents", "doc_id", each_line(T.without_leading_letter("l"))), duck_lines(f"regexp_replace(regexp_replace({STRIP('l')}, '\\s+', ' ', 'g'), '^\\S( |$)', '')"))
 add("l21_split_keep", project("documents", "doc_id", f"size({T.split_keeping('text', '[0-9]{3}')}) as n"), f"select doc_id, cast(len(list_filter(list_transform(string_split(regexp_replace(text, '([0-9]{{3}})', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: {STRIP('x')}), lambda x: x <> '')) as int) as n from documents")
 places = f"array('CALLE', {synthetic._pick(synthetic.TOWNS, 'p_partkey % 4')}, if(p_partkey % 3 = 0, 'en ' || {synthetic._pick(synthetic.TOWNS, 'p_partkey % 2')}, 'nada'))"
 add("l22_province", project("part", "p_partkey", f"cast({T.last_line_with(places, fixed.PROVINCES, 1)} as int) as at"), f"select p_partkey, case when p_partkey % 3 = 0 and upper([{', '.join(repr(t) for t in synthetic.TOWNS)}][cast(p_partkey % 2 as int) + 1]) <> '' then 2 else 1 end as at from part")

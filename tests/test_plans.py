@@ -98,3 +98,15 @@ def test_no_shuffle_in_projections(spark):
     for name in ("d_validate", "v_validate", "n_validate", "f1_doc_check", "l7_gather"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan, name
+
+
+def test_mixed_texts_compile(spark):
+    """No plan of mixed texts falls back to interpreted code."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ("r11_findings_by_code", "r17_tier", "r20_route"):
+            df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+            assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 250_000, name
+            assert df.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
