@@ -54,13 +54,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+#: Bytes of input that a task of a compacted table stands for.
+PART_BYTES = 1 << 26
+
+
+def parts_for(df: DataFrame) -> int:
+    """Files of a table that is no larger than ``df``: one for each ``PART_BYTES`` that the planner expects of it, as many as cores at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), (1 << 31) - 1)
+
+
+def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later readers don't depend on executors.
 
-    compact: for results of a shuffle, as many files as the cluster has cores instead of one for each shuffle partition.
+    parts: for results of a shuffle, the most files, instead of one for each shuffle partition.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    (df.coalesce(spark.sparkContext.defaultParallelism) if compact else df).write.option("compression", "zstd").parquet(path)
+    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

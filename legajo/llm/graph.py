@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import drop_scratch, written
+from legajo.llm.common import drop_scratch, parts_for, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -23,15 +23,16 @@ def _star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root of every node with an edge; root is the least node of its component. edges: two long columns."""
+    """node, root of every node with an edge; root is the least node of its component. edges: two long columns of a stored table."""
     u, v = edges.columns
     now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u != v").distinct()
-    now, mark = written(now, "edges", True), None
+    parts = parts_for(edges.select(u, v, F.col(u).alias("w")))  # a star has two edges at most for each
+    now, mark = written(now, "edges", parts), None
     while True:
         told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(told) == mark or told[0] == 0:
             break
         mark = tuple(told)
-        then, now = now, written(_star(now), "edges", True)
+        then, now = now, written(_star(now), "edges", parts)
         drop_scratch(then)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

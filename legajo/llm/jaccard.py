@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from legajo.llm.common import Bitmap, arrow_map, bitmap_of, chunks, kept, text_or_empty, written
+from legajo.llm.common import Bitmap, arrow_map, bitmap_of, chunks, kept, parts_for, text_or_empty, written
 from legajo.llm.graph import components
 from legajo.llm.words import Words, mix, shingle_sets
 
@@ -205,7 +205,7 @@ def _plausible(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFra
     return both.withColumn("size", (F.col("x_n") + F.col("y_n")).cast("long")).where(_links(F.col("apart"), F.col("size"), num, den)).select("a", "b", "size", "apart")
 
 
-def _settled(pairs: DataFrame, hubs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _settled(pairs: DataFrame, hubs: DataFrame, sets: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     """a, b of the linked ones among ``pairs`` (a, b, size): answers of hubs are computed, those of the sets near them derived.
 
     hubs: set, hub, off: a set's hub and the number of elements that only one of the two has. The hubs of a pair are verified once for all
@@ -218,7 +218,7 @@ def _settled(pairs: DataFrame, hubs: DataFrame, sets: DataFrame, num: int, den:
     pairs = pairs.select("a", "b", "size", F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb"), (F.col("oa") + F.col("ob")).alias("off"))
     met = pairs.where("ha != hb").select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
     met = _differing(met, sets).select(F.col("a").alias("ha"), F.col("b").alias("hb"), "diff")
-    known = written(pairs.join(met, ["ha", "hb"], "left").withColumn("diff", F.coalesce("diff", F.lit(0))), "known", True)
+    known = written(pairs.join(met, ["ha", "hb"], "left").withColumn("diff", F.coalesce("diff", F.lit(0))), "known", parts)
     sure = known.where(_links(F.col("diff") + F.col("off"), F.col("size"), num, den)).select("a", "b")
     open_ = known.where(~_links(F.col("diff") + F.col("off"), F.col("size"), num, den) & _links(F.col("diff") - F.col("off"), F.col("size"), num, den))
     found = _differing(open_.select("a", "b"), sets)
@@ -230,7 +230,7 @@ def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: i
 
     row: a binary column that tells rows apart where ids don't; it is returned too, with ``comp``, which is equal in a component and null for empty sets.
     """
-    spark = docs.sparkSession
+    spark, parts = docs.sparkSession, parts_for(docs)
     key = F.col(row) if row else F.lit(None).cast("binary")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), key.alias("row"))
     profile = written(_profile(docs, k), "profile")
@@ -254,19 +254,19 @@ def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: i
     star = live.join(first, "token").where((F.col("set") != F.col("f.set")) & _may_link(F.col("n"), F.col("pos"), F.col("f.n"), F.col("f.pos"), num, den))
     pairs = _plausible(star.select(F.col("f.set").alias("a"), F.col("set").alias("b")).distinct(), sigs, num, den)
     nearest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m"))  # others wait for round two
-    nearest = written(nearest.select(F.col("b").alias("set"), F.col("m.a").alias("hub")), "nearest", True)
+    nearest = written(nearest.select(F.col("b").alias("set"), F.col("m.a").alias("hub")), "nearest", parts)
     tried = nearest.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
     found = _differing(tried, _wanted(docs, tried, rows, k)).where(_links(F.col("diff"), F.col("size"), num, den))
-    found = written(found, "links", True)
+    found = written(found, "links", parts)
     links = found.select("a", "b")
     ends = found.select(F.col("a").alias("set"), F.col("b").alias("hub"), F.col("diff").alias("off")).union(found.select("b", "a", "diff"))
-    hubs = written(ends.join(nearest, ["set", "hub"], "left_semi"), "hubs", True)
+    hubs = written(ends.join(nearest, ["set", "hub"], "left_semi"), "hubs", parts)
     label = components(links)
 
     # Round two: pairs across components within a list, block by block.
     entry = live.join(label, live["set"] == label["node"], "left").select("token", "set", "n", "pos", F.coalesce("root", "set").alias("comp"))
     mixed = entry.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    entry = written(entry.join(mixed, "token"), "mixed", True)
+    entry = written(entry.join(mixed, "token"), "mixed", parts)
     # Seen from the smaller (or equal) set, the partner's size is at least its own and at most what its position allows; in a block of
     # sizes, positions beyond ``deepest`` leave the partner too few elements, so whole blocks of positions are skipped.
     top = _top(num, den)
@@ -282,13 +282,13 @@ def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: i
     same = (F.col("l.token") == F.col("r.token")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.depth") == F.col("r.depth"))
     met = left.join(right, same & (F.col("l.comp") != F.col("r.comp")) & ordered & fits)
     pairs = met.select(F.least("l.set", "r.set").alias("a"), F.greatest("l.set", "r.set").alias("b")).distinct()
-    again = written(_plausible(pairs.join(tried, ["a", "b"], "left_anti"), sigs, num, den).select("a", "b", "size"), "pairs", True)
+    again = written(_plausible(pairs.join(tried, ["a", "b"], "left_anti"), sigs, num, den).select("a", "b", "size"), "pairs", parts)
     if not again.isEmpty():
         sets = [again.select("a", "b")]
         for side in "ab":  # the sets' hubs are verified too
             sets.append(again.select(F.col(side).alias("set")).join(hubs, "set").select(F.col("hub").alias("a"), F.col("hub").alias("b")))
         sets = written(_wanted(docs, sets[0].union(sets[1]).union(sets[2]), rows, k), "sets")
-        label = components(written(links.union(_settled(again, hubs, sets, num, den)), "links", True))
+        label = components(written(links.union(_settled(again, hubs, sets, parts, num, den)), "links", parts))
     live.unpersist()
     common.destroy()
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import arrow_map, bitmap_of, chunks, free_names, kept, text_or_empty, written
+from legajo.llm.common import arrow_map, bitmap_of, chunks, free_names, kept, parts_for, text_or_empty, written
 from legajo.llm.words import Words
 
 LENGTH, GRAM, BITS, SALTS = 50, 20, 23, 8
@@ -90,6 +90,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     docs: doc_id (long), th (hash of the text), text (never null).
     """
+    parts = parts_for(docs)
     docs = docs.where("doc_id is not null").select("doc_id", "th", "text")
     shared = _anchors(docs, length, gram).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi")
     live = docs.sparkSession.sparkContext.broadcast(bitmap_of(shared, "anchor", BITS))
@@ -109,7 +110,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     each = settled.where("not whole").select("doc_id", "th", "start", F.posexplode("windows").alias("k", "window")).select("doc_id", "th", "window", (F.col("start") + F.col("k")).alias("begin"))
     least = each.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("window", "first")
     some = each.withColumn("salt", salt).join(least.withColumn("salt", every), ["window", "salt"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "th", "begin", (F.col("begin") + length).alias("end"))
-    marks = written(whole.union(some).groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("marks")), "marks", True)
+    marks = written(whole.union(some).groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("marks")), "marks", parts)
     settled.unpersist()
     return marks
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from legajo.llm.common import bitmap_of, chunks, kept, shared_dir, text_buffers, written
+from legajo.llm.common import bitmap_of, chunks, kept, parts_for, shared_dir, text_buffers, written
 from legajo.llm.words import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,7 +53,8 @@ def test_bitmap_and_tables(spark):
     got = bitmap_of(df, "v", 10)
     assert set(np.flatnonzero(got.has(np.arange(1024)))) == {v & 1023 for v in values} and len(got.words) == 16
     assert got.has(np.array(values)).all()
-    table = written(df, "v", True)
+    table = written(df, "v", 2)
+    assert len(table.inputFiles()) <= 2 and parts_for(table) == spark.sparkContext.defaultParallelism and parts_for(df) > 0
     assert sorted(r.v for r in table.collect()) == sorted(values)
     assert all(f.startswith(shared_dir(spark).replace("file://", "file:")) or f.startswith(shared_dir(spark)) for f in table.inputFiles())
     held = kept(df)
