@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.llm.common import arrow_map, drop_scratch, written
+from legajo.llm.common import arrow_map, drop_scratch, parts_for, written
 from legajo.llm.graph import components
 
 K, K_MOST, ORDERS, BITS, BLOCK, SCAN = 8, 32, 4, 16, 256, 512
@@ -47,19 +47,19 @@ def vectors(column: pa.Array) -> list[np.ndarray]:
 
 
 def _nodes(df: DataFrame) -> DataFrame:
-    """id (least of its class), weight (rows of the class), key, dim, unit vector (double) and half (for ranking)."""
+    """id (least of its class), weight (rows of the class), key and other (two hashes that tell vectors apart), dim, unit vector (double) and half (for ranking)."""
 
     def run(batches):
         for batch in batches:
             units = vectors(batch.column("embedding"))
-            keep = [batch.column(c) for c in ("id", "weight", "key")]
+            keep = [batch.column(c) for c in ("id", "weight", "key", "other")]
             yield pa.RecordBatch.from_arrays(
                 [*keep, pa.array([len(v) for v in units], pa.int32()), pa.array([v.tobytes() for v in units], pa.binary()), pa.array([v.astype(np.float16).tobytes() for v in units], pa.binary())],
-                ["id", "weight", "key", "dim", "unit", "half"],
+                ["id", "weight", "key", "other", "dim", "unit", "half"],
             )
 
-    classes = df.where("not dead").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
-    return arrow_map(classes.select("id", "weight", "key", "embedding"), run, "id long, weight long, key long, dim int, unit binary, half binary")
+    classes = df.where("not dead").groupBy("key", "other").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    return arrow_map(classes.select("id", "weight", "key", "other", "embedding"), run, "id long, weight long, key long, other long, dim int, unit binary, half binary")
 
 
 def _matrix(column, kind) -> np.ndarray:
@@ -195,10 +195,10 @@ def _refined(nodes: DataFrame, lists: DataFrame, floor: float) -> DataFrame:
 
 def _descend(nodes: DataFrame, start: DataFrame, floor: float, n: int) -> DataFrame:
     """Lists after refining the lists of ``start`` (u, v, s, new)."""
-    lists = written(_lists(start, floor), "lists", True)
+    lists = written(_lists(start, floor), "lists", parts_for(nodes))
     for _ in range(STEPS):
         found = _refined(nodes, lists, floor).withColumn("new", F.lit(True))
-        then, lists = lists, written(_lists(lists.withColumn("new", F.lit(False)).union(found), floor), "lists", True)
+        then, lists = lists, written(_lists(lists.withColumn("new", F.lit(False)).union(found), floor), "lists", parts_for(nodes))
         changed = lists.where("new").count()
         drop_scratch(then)
         if changed <= CHANGED * K * n:
@@ -266,7 +266,7 @@ def _scanned(nodes: DataFrame, labels: DataFrame, members: DataFrame, threshold:
     the threshold's. So centres are compared with all nodes, and members only with what is near enough to their cell's centre.
     labels: id, root, whole (is a member) of all nodes.
     """
-    cells = written(_celled(nodes, members), "cells", True)
+    cells = written(_celled(nodes, members), "cells", parts_for(nodes))
     reach = F.least(F.lit(np.pi), F.max("angle") + float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6)
     centres = cells.groupBy(F.col("cell").alias("id")).agg(reach.alias("reach")).join(nodes.select("id", F.col("dim").alias("g")), "id")
 
@@ -276,7 +276,7 @@ def _scanned(nodes: DataFrame, labels: DataFrame, members: DataFrame, threshold:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), cell), pa.int64()), pa.array(ids, pa.int64())], ["g", "id"])
 
     everything = nodes.select(F.col("dim").alias("g"), "id", F.lit(0.0).alias("reach"))
-    against = written(_crossed(centres.select("g", "id", "reach"), everything, nodes, close, "g long, id long"), "against", True)
+    against = written(_crossed(centres.select("g", "id", "reach"), everything, nodes, close, "g long, id long"), "against", parts_for(nodes))
 
     def linked(x, y, sims):
         ids, others = x.column("id").to_numpy(), y.column("id").to_numpy()
@@ -300,18 +300,18 @@ def _completed(nodes: DataFrame, near: DataFrame, pairs: DataFrame, whole: DataF
     """id, n, root of each node; written. ``pairs`` are the links known; those of the nodes in ``whole`` (id) are all found here."""
     label = components(pairs)
     labels = nodes.select("id").join(label, F.col("id") == F.col("node"), "left").join(whole.withColumn("whole", F.lit(True)), "id", "left")
-    labels = written(labels.select("id", F.coalesce("root", "id").alias("root"), F.coalesce("whole", F.lit(False)).alias("whole")), "labels", True)
+    labels = written(labels.select("id", F.coalesce("root", "id").alias("root"), F.coalesce("whole", F.lit(False)).alias("whole")), "labels", parts_for(nodes))
     each = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     each = each.join(whole, "id", "left_anti").join(whole.select(F.col("id").alias("other")), "other", "left_anti")
     counts = each.join(nodes.select(F.col("id").alias("other"), "weight"), "other").select("id", F.col("weight").alias("n"))
     if not whole.isEmpty():
         least = near.select(F.col("u").alias("id"), F.col("v")).union(whole.select("id", "id")).groupBy("id").agg(F.min_by("v", F.xxhash64("v", F.lit(9))).alias("leader"))
-        found = written(_scanned(nodes, labels, labels.where("whole").join(least, "id").select("id", "root", "leader"), threshold), "scanned", True)
+        found = written(_scanned(nodes, labels, labels.where("whole").join(least, "id").select("id", "root", "leader"), threshold), "scanned", parts_for(nodes))
         counts = counts.union(found.where("not joins").select("a", "b"))
         above = components(found.where("joins").select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("above"))
         labels = labels.join(above, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
     counts = counts.groupBy("id").agg(F.sum("n").alias("n"))
-    return written(labels.join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), "root"), "result", True)
+    return written(labels.join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), "root"), "result", parts_for(nodes))
 
 
 def audit(nodes: DataFrame, result: DataFrame, threshold: float, sample: int = AUDIT) -> float:
@@ -343,8 +343,8 @@ def links(nodes: DataFrame, threshold: float) -> DataFrame:
         start = _seeded(nodes, range(r * ORDERS, (r + 1) * ORDERS), floor).withColumn("new", F.lit(True))
         lists = _descend(nodes, start if lists is None else start.unionByName(lists.withColumn("new", F.lit(False))), floor, n)
         near = lists.where(F.col("s") >= floor)
-        pairs = written(_exact(nodes, near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), threshold), "links", True)
-        whole = written(near.groupBy("u").count().where(F.col("count") >= K_MOST).select(F.col("u").alias("id")), "whole", True)
+        pairs = written(_exact(nodes, near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), threshold), "links", parts_for(nodes))
+        whole = written(near.groupBy("u").count().where(F.col("count") >= K_MOST).select(F.col("u").alias("id")), "whole", parts_for(nodes))
         result = _completed(nodes, near, pairs, whole, threshold)
         if audit(nodes, result, threshold) >= RECALL:
             return result
@@ -357,10 +357,10 @@ def near_dedup(df: DataFrame, threshold: float = 0.9) -> DataFrame:
     zero = ~F.exists("embedding", lambda x: x != 0)
     dead = F.col("vec_id").isNull() | F.col("embedding").isNull() | (F.size("embedding") == 0) | F.coalesce(odd, F.lit(True)) | F.coalesce(zero, F.lit(True))
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("dead", dead)
-    rows = rows.withColumn("key", F.xxhash64("embedding", F.size("embedding")))
+    rows = rows.withColumn("key", F.xxhash64("embedding", F.size("embedding"))).withColumn("other", F.xxhash64(F.lit(11), "embedding"))
     nodes = written(_nodes(rows), "nodes")
-    found = nodes.select("id", "key", "weight").join(links(nodes, threshold), "id")
-    out = rows.select("vec_id", "dead", "key").join(found, "key", "left")
+    found = nodes.select("id", "key", "other", "weight").join(links(nodes, threshold), "id")
+    out = rows.select("vec_id", "dead", "key", "other").join(found, ["key", "other"], "left")
     lonely = F.col("dead") | F.col("id").isNull()
     component = F.when(lonely, F.col("vec_id")).otherwise(F.col("root"))
     return out.select("vec_id", F.when(lonely, F.lit(0)).otherwise(F.col("n") + F.col("weight") - 1).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

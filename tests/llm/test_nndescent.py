@@ -81,3 +81,15 @@ def test_short_recall_of_few_links_ends_in_an_exact_scan(spark, monkeypatch):
     monkeypatch.setattr(nndescent, "ROUNDS", 1)
     monkeypatch.setattr(nndescent, "_descend", lambda nodes, start, floor, n: nndescent.written(nndescent._lists(start.where("false"), floor), "lists"))
     assert Counter(map(tuple, nndescent.near_dedup(df).collect())) == brute(rows)
+
+
+def test_audit_measures_recall(spark):
+    rows = cloud(6, 200, [30, 2])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    nodes = nndescent._nodes(df.withColumn("dead", nndescent.F.lit(False)).withColumn("key", nndescent.F.xxhash64("embedding")).withColumn("other", nndescent.F.lit(1).cast("long"))).cache()
+    true = {v: n for v, n, _, _ in brute(rows)}
+    whole = spark.createDataFrame(list(true.items()), "id long, n long")
+    assert nndescent.audit(nodes, whole, 0.9) == 1.0 and sum(true.values()) > 100
+    half = spark.createDataFrame([(v, n // 2) for v, n in true.items()], "id long, n long")
+    assert abs(nndescent.audit(nodes, half, 0.9, sample=232) - sum(n // 2 for n in true.values()) / sum(true.values())) < 1e-9
+    assert nndescent.audit(nodes, whole.limit(0), 0.9) == 0.0
