@@ -31,6 +31,8 @@ from legajo.llm.common import arrow_map, scratch, text_or_empty, written
 
 SAMPLES = 64
 SHARD_BYTES = 1 << 28
+#: Bytes of a shard that lie together when it is read back, and that a task reads.
+STRETCH, TASK_BYTES = 1 << 22, 1 << 26
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -185,8 +187,14 @@ def probe(manifest: DataFrame, root: str) -> DataFrame:
 
 
 def features(manifest: DataFrame, root: str) -> DataFrame:
-    """Metadata, digests and features of the stored members, read back whole."""
-    return _described(manifest, root, True)
+    """Metadata, digests and features of the stored members, read back whole.
+
+    The manifest is dealt by stretches of the shards, as many tasks as the stored bytes need; each reads its stretches in order.
+    """
+    stored = manifest.agg(F.sum("length")).first()[0] or 0
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-int(stored) // TASK_BYTES))
+    dealt = manifest.repartition(tasks, "shard", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("shard", "offset")
+    return _described(dealt, root, True)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
