@@ -86,3 +86,12 @@ FIELD_STOPS = (
 ADDRESS_STOPS = ("FECHA", "DATA", "LUGAR DE NACIMIENTO", "LLOC DE NAIXEMENT", "PADRE", "PARE", "MADRE", "MARE", "EQUIPO", "EQUIP", "HIJO", "FILL", "IDNUM", "TEAM")
 ADDRESS_LABELS = ("LUGAR DE DOMICILIO", "LLOC DE DOMICILI", "PROVINCIA/PAÍS", "PROVINCIA-PAÍS", "PROVÍNCIA-PAÍS")
 FISCAL_STOPS = ("DOMICILIO", "FECHA", "ADMINISTRACIÓN", "ADMINISTRACION", "CÓDIGO", "CODIGO", "ANAGRAMA", "N.I.F", "NIF")
+
+# Words of the back and the front of identity cards, and words that tell a document's family, in the order of the families.
+BACK_WORDS = ("DOMICILIO", "DOMICILI", "EQUIPO", "EQUIP", "HIJO", "FILL", "PADRE", "PARE", "MADRE", "MARE", "LUGAR DE NACIMIENTO")
+FRONT_WORDS = ("APELLIDOS", "COGNOMS", "SEXO", "SEXE", "NACIONALIDAD", "NACIONALITAT")
+FAMILY_WORDS = {
+    "dni": ("IDESP", "APELLIDOS", "COGNOMS", "DOCUMENTO NACIONAL", "NACIONALIDAD"),
+    "nif": ("DENOMINACI", "DOMICILIO FISCAL", "N.I.F", "AEAT"),
+    "permiso_circulacion": ("PERMISO DE CIRCULACI", "D.1", "P.1", "C.1.1"),
+}

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from legajo.functions import checks
+from legajo.functions import checks, fixed
 from legajo.functions.text import any_of, lit, nz
 
-BACK_WORDS = ("DOMICILIO", "DOMICILI", "EQUIPO", "EQUIP", "HIJO", "FILL", "PADRE", "PARE", "MADRE", "MARE", "LUGAR DE NACIMIENTO")
-FRONT_WORDS = ("APELLIDOS", "COGNOMS", "SEXO", "SEXE", "NACIONALIDAD", "NACIONALITAT")
 ACCEPTED = "accepted"
 
 
@@ -19,8 +17,8 @@ def identity_fallback(datos: str, confidence: str, text: str) -> str:
     points = " + ".join(f"if({f(x)} is null, 0, 20)" for x in ("numero_documento", "nombre", "apellidos", "fecha_nacimiento", "fecha_caducidad"))
     return f"""case when not {checks.person_id_ok(f('numero_documento'))} then 'number missing or invalid'
         when {f('nombre')} is null then 'name missing' when {f('apellidos')} is null then 'surname missing'
-        when {any_of(upper, BACK_WORDS)} and {no_place} and {confidence} < 70 then 'back side without address'
-        when {zone} and not {any_of(upper, FRONT_WORDS)} and length({text}) < 250 and {confidence} < 70 then 'machine-readable zone only'
+        when {any_of(upper, fixed.BACK_WORDS)} and {no_place} and {confidence} < 70 then 'back side without address'
+        when {zone} and not {any_of(upper, fixed.FRONT_WORDS)} and length({text}) < 250 and {confidence} < 70 then 'machine-readable zone only'
         when {points} < 60 then 'few fields' when {confidence} < 35 then 'low confidence' else {lit(ACCEPTED)} end"""
 
 
@@ -39,6 +37,5 @@ def tier(valid: str, score: str) -> str:
 def doc_type(text: str) -> str:
     """Family of a text by its labels; NULL if none is told."""
     u = f"upper(coalesce({text}, ''))"
-    return f"""case when {any_of(u, ('IDESP', 'APELLIDOS', 'COGNOMS', 'DOCUMENTO NACIONAL', 'NACIONALIDAD'))} then 'dni'
-        when {any_of(u, ('DENOMINACI', 'DOMICILIO FISCAL', 'N.I.F', 'AEAT'))} then 'nif'
-        when {any_of(u, ('PERMISO DE CIRCULACI', 'D.1', 'P.1', 'C.1.1'))} then 'permiso_circulacion' end"""
+    cases = " ".join(f"when {any_of(u, words)} then {lit(family)}" for family, words in fixed.FAMILY_WORDS.items())
+    return f"case {cases} end"

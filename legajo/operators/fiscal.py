@@ -19,6 +19,7 @@ FIELDS = (
     "domicilio_social", *(f"domicilio_social_{p}" for p in PARTS), "domicilio_fiscal", *(f"domicilio_fiscal_{p}" for p in PARTS),
     "fecha_nif_definitivo", "fecha_expedicion", "administracion_aeat", "codigo_administracion", "nombre_administracion", "codigo_electronico",
 )
+#: Patterns of a date, a floor, and an address line with street, number and floor.
 DATE = r"(\d{2})[-/](\d{2})[-/](\d{4})"
 FLOOR = r"(PLANTA\s*\d+[,]?\s*PUERTA\s*\d+|P[O0]?\d+\s*\d*|[PB]\d+|\d+[ºª°]?\s*[A-Z]?)?"
 STREET = rf"{W}^(.*?)[,\s]+(?:NUM\.?\s*)?(\d{{1,4}}[A-Z]?)\s*[,]?\s*{FLOOR}"

@@ -69,13 +69,17 @@ def address_lines() -> str:
     return f"if({tail} is not null and not {matches(tail, label)}, {split_keeping(tail, r'\d{5}')}, {below})"
 
 
+#: Patterns of the floor and of an address line with street, number and floor, and without a floor.
+FLOOR = r"(P[O0]?\d+\s*\d*|[PB]\d+|[ESC]+[A-Z0-9\s]+|\d+[ºª°]?\s*[A-Z]?)(?:\s|$)"
+FULL_ADDRESS = rf"{W}^(.*?)[,\s]+(\d{{1,4}}[A-Z]?)(?=\s+{FLOOR})(.*)$"
+SHORT_ADDRESS = r"(?d)^(.*?)[,\s]+(\d+[A-Z]?)\s*$"
+
+
 def address_parts() -> str:
     """Street, number, floor and places of the address lines ``a``."""
     d = "get(a, 0)"
-    floor = r"(P[O0]?\d+\s*\d*|[PB]\d+|[ESC]+[A-Z0-9\s]+|\d+[ºª°]?\s*[A-Z]?)(?:\s|$)"
-    full = rf"{W}^(.*?)[,\s]+(\d{{1,4}}[A-Z]?)(?=\s+{floor})(.*)$"
+    full, short = FULL_ADDRESS, SHORT_ADDRESS
     rest = strip(f"regexp_extract({d}, {lit(full)}, 4)")
-    short = r"(?d)^(.*?)[,\s]+(\d+[A-Z]?)\s*$"
     place = lambda x: nz(strip(sub(x, r"^\d{5}\s+")))
     at = last_line_with("a", fixed.PROVINCES, 1)
     return as_struct(
