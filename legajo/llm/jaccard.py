@@ -30,7 +30,7 @@ from legajo.llm.common import Bitmap, arrow_map, bitmap_of, chunks, kept, parts_
 from legajo.llm.graph import components
 from legajo.llm.words import Words, mix, shingle_sets
 
-WORDS_EACH, BITS, LOCAL_SETS, SALTS = 5, 23, 2, 32
+WORDS_EACH, BITS, LOCAL_SETS, SALTS, DEALT = 5, 23, 2, 32, 8
 #: Longs of the bitmap of a set below each size.
 SIGNATURES = ((600, 8), (2400, 32), (float("inf"), 128))
 #: Linked if DEN * intersection >= NUM * union.
@@ -293,6 +293,9 @@ def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: i
     common.destroy()
 
     named = rows.join(label, rows["set"] == label["node"], "left").select("doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("root", "set")).alias("comp"))
-    least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "row", "comp")
+    # rows alone in their component need no join; a large component's rows are dealt over DEALT keys
+    least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    least = least.select("comp", "least", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("salt"))
+    out = named.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row"), F.lit(DEALT)).cast("int")).join(least, ["comp", "salt"], "left")
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "row", "comp")
     return out if row else out.drop("row", "comp")
