@@ -96,20 +96,21 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     live = docs.sparkSession.sparkContext.broadcast(bitmap_of(shared, "anchor", BITS))
     seeds = kept(_seeded(docs, live, length, gram))
 
-    kinds = seeds.groupBy("anchor", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    several = kinds.groupBy("anchor").agg((F.min("run") != F.max("run")).alias("several"))
-    kinds = kinds.join(several, "anchor").where("several or first != last")
-    # A run or window of a common passage has many holders: they are dealt over SALTS keys.
+    # A run or window of a common passage has many holders, a common anchor many runs: they are dealt over SALTS keys.
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SALTS)).cast("int")
-    found = seeds.withColumn("salt", salt).join(kinds.withColumn("salt", every), ["anchor", "run", "salt"])
+    salt = lambda name: F.pmod(F.xxhash64(name, F.lit(5)), F.lit(SALTS)).cast("int")
+    kinds = seeds.groupBy("anchor", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    several = kinds.groupBy("anchor").agg((F.min("run") != F.max("run")).alias("several")).where("several").withColumn("salt", every)
+    kinds = kinds.withColumn("salt", salt("run")).join(several, ["anchor", "salt"], "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    kinds = kinds.drop("salt").where("several or first != last")
+    found = seeds.withColumn("salt", salt("doc_id")).join(kinds.withColumn("salt", every), ["anchor", "run", "salt"])
     mine = F.col("doc_id") == F.col("first")
     settled = kept(found.where(~mine | F.col("several")).select("doc_id", "th", "start", "n", (~mine).alias("whole"), F.when(mine, F.col("windows")).alias("windows")))
     seeds.unpersist()
     whole = settled.where("whole").select("doc_id", "th", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + length).alias("end"))
     each = settled.where("not whole").select("doc_id", "th", "start", F.posexplode("windows").alias("k", "window")).select("doc_id", "th", "window", (F.col("start") + F.col("k")).alias("begin"))
     least = each.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("window", "first")
-    some = each.withColumn("salt", salt).join(least.withColumn("salt", every), ["window", "salt"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "th", "begin", (F.col("begin") + length).alias("end"))
+    some = each.withColumn("salt", salt("doc_id")).join(least.withColumn("salt", every), ["window", "salt"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "th", "begin", (F.col("begin") + length).alias("end"))
     marks = written(whole.union(some).groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("marks")), "marks", parts)
     settled.unpersist()
     return marks
