@@ -95,7 +95,8 @@ def drop_scratch(df: DataFrame) -> None:
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` whose workers find this package where the driver does, in batches of bounded bytes.
 
-    Workers are used again by later tasks, so each task gives back what its allocators hold at its end.
+    Workers are used again by later tasks, so each task gives back what its allocators hold at its end. Plans read the bound of a batch only
+    when they run, so a session that allows more than ``BATCH_BYTES`` has it lowered from here on.
     """
     env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
