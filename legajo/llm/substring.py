@@ -5,8 +5,9 @@ have equal anchors, and one anchor stands for a run of neighbouring windows. Doc
 two documents have are seeds. A seed is extended both ways over its whole run of windows: runs of equal content are
 settled at once by the least id that has them; where an anchor has different runs, one document for each different run
 is extended window by window. A window that also starts in a document with a smaller id marks its words; marks of neighbouring
-windows unite to maximal repeats of at least ``LENGTH`` words. All comparisons are on the input, in minima by hash,
-so nothing pairs the documents of a common passage with each other, and minima are pre-aggregated before each shuffle.
+windows unite to maximal repeats of at least ``LENGTH`` words. All comparisons are on the input, in minima by two hashes of 64 bits,
+the anchor's and the run's or window's, so nothing pairs the documents of a common passage with each other, and minima are
+pre-aggregated before each shuffle.
 
 Free style: texts are mapped in numpy, the rest is native. The live anchors are broadcast as a bitmap of fixed size. Null texts have no
 words; documents without an id neither lose words nor take them from others; rows that share an id are one document
@@ -105,12 +106,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     kinds = kinds.drop("salt").where("several or first != last")
     found = seeds.withColumn("salt", salt("doc_id")).join(kinds.withColumn("salt", every), ["anchor", "run", "salt"])
     mine = F.col("doc_id") == F.col("first")
-    settled = kept(found.where(~mine | F.col("several")).select("doc_id", "th", "start", "n", (~mine).alias("whole"), F.when(mine, F.col("windows")).alias("windows")))
+    settled = kept(found.where(~mine | F.col("several")).select("doc_id", "th", "anchor", "start", "n", (~mine).alias("whole"), F.when(mine, F.col("windows")).alias("windows")))
     seeds.unpersist()
     whole = settled.where("whole").select("doc_id", "th", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + length).alias("end"))
-    each = settled.where("not whole").select("doc_id", "th", "start", F.posexplode("windows").alias("k", "window")).select("doc_id", "th", "window", (F.col("start") + F.col("k")).alias("begin"))
-    least = each.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("window", "first")
-    some = each.withColumn("salt", salt("doc_id")).join(least.withColumn("salt", every), ["window", "salt"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "th", "begin", (F.col("begin") + length).alias("end"))
+    # equal windows have equal anchors: the two hashes tell them apart where the windows of a corpus are too many for 64 bits
+    each = settled.where("not whole").select("doc_id", "th", "anchor", "start", F.posexplode("windows").alias("k", "window")).select("doc_id", "th", "anchor", "window", (F.col("start") + F.col("k")).alias("begin"))
+    least = each.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("anchor", "window", "first")
+    some = each.withColumn("salt", salt("doc_id")).join(least.withColumn("salt", every), ["anchor", "window", "salt"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "th", "begin", (F.col("begin") + length).alias("end"))
     marks = written(whole.union(some).groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("marks")), "marks", parts)
     settled.unpersist()
     return marks
