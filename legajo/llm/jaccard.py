@@ -1,6 +1,6 @@
 """Operator 3: n-gram Jaccard join with set-relation skipping, as components of documents.
 
-Sets are the distinct word shingles of a text, as 64-bit hashes. Equal sets become one set first. Each set lists
+Sets are the distinct word shingles of a text, as 64-bit hashes. Equal sets, told by two hashes of 64 bits, become one set first. Each set lists
 its prefix (of n elements the first n - ceil(0.8 n) + 1) in one global order: the most frequent elements, as many as a
 bitmap of fixed size holds well, come last, else by hash. Two linked sets share an element of their prefixes.
 
@@ -39,13 +39,32 @@ NUM, DEN = 80, 100
 GROWTH, DEEPER = 1.08, 4.0
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """Identity of a set of hashes (sorted): 64 bits over all elements and their number."""
+def set_id(tokens: np.ndarray) -> tuple[int, int]:
+    """Two hashes of 64 bits over all elements of a set of hashes (sorted) and their number."""
     if not len(tokens):
-        return 0
+        return 0, 0
     with np.errstate(over="ignore"):
         h = (mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(tokens + np.uint64(len(tokens)))))
-        return int(mix(np.array([h[0] * np.uint64(31) + h[1]], np.uint64)).view(np.int64)[0])
+        both = mix(np.array([h[0] * np.uint64(31) + h[1], h[1] * np.uint64(37) + h[0] + np.uint64(len(tokens))], np.uint64))
+        return tuple(both.view(np.int64).tolist())
+
+
+class Names:
+    """Identity of a set in 64 bits: its first hash, or the second one where different sets share the first.
+
+    clashes: the first hashes that different sets share, about N * N / 2**65 of N sets: three of 1e10. bits: of the first hash, fewer in tests only.
+    """
+
+    def __init__(self, bits: int = 64, clashes: frozenset[int] = frozenset()):
+        self.low, self.clashes = (1 << bits - 1) - 1, clashes
+
+    def both(self, tokens: np.ndarray) -> tuple[int, int]:
+        one, other = set_id(tokens)
+        return (one if self.low == (1 << 63) - 1 else one & self.low), other
+
+    def __call__(self, tokens: np.ndarray) -> int:
+        one, other = self.both(tokens)
+        return other if one in self.clashes else one
 
 
 def prefix_size(n: int, num: int = NUM, den: int = DEN) -> int:
@@ -67,8 +86,8 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
-def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: doc_id, row, n, set, sig of each document; and token, count of elements that several sets of a batch have.
+def _profile(docs: DataFrame, k: int, name: Names) -> DataFrame:
+    """Rows of two kinds: doc_id, row, n, set, other (the set's second hash), sig of each document; and token, count of elements that several sets of a batch have.
 
     Elements are counted by their low 32 bits: one counted with another's share comes later in the order, which any order may.
     """
@@ -82,7 +101,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                 sizes += map(len, sets)
                 sigs += [signature(s) for s in sets]
                 for s in sets:
-                    names.append(set_id(s))
+                    names.append(name.both(s))
                     if names[-1] not in seen:
                         seen.add(names[-1])
                         halves.append(s.astype(np.uint32))
@@ -98,14 +117,21 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                     "doc_id": pa.array(ids + [None] * m, pa.int64()),
                     "row": pa.array(keys + [None] * m, pa.binary()),
                     "n": pa.array(sizes + [None] * m, pa.int32()),
-                    "set": pa.array(names + [None] * m, pa.int64()),
+                    "set": pa.array([x for x, _ in names] + [None] * m, pa.int64()),
+                    "other": pa.array([y for _, y in names] + [None] * m, pa.int64()),
                     "sig": pa.array(sigs + [None] * m, pa.list_(pa.int64())),
                     "token": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(token, pa.int64())]),
                     "count": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(count, pa.int64())]),
                 }
             )
 
-    return arrow_map(docs, run, "doc_id long, row binary, n int, set long, sig array<long>, token long, count long")
+    return arrow_map(docs, run, "doc_id long, row binary, n int, set long, other long, sig array<long>, token long, count long")
+
+
+def _clashes(profile: DataFrame) -> frozenset[int]:
+    """First hashes that different sets share."""
+    found = profile.where("n > 0").groupBy("set").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo != hi")
+    return frozenset(r["set"] for r in found.select("set").collect())
 
 
 def _common(profile: DataFrame) -> Bitmap:
@@ -121,7 +147,7 @@ def _common(profile: DataFrame) -> Bitmap:
     return bitmap_of(counts.where(level >= least) if least is not None else counts.limit(0), "token", BITS)
 
 
-def _lists(docs: DataFrame, common, k: int, num: int, den: int) -> DataFrame:
+def _lists(docs: DataFrame, common, k: int, num: int, den: int, named: Names) -> DataFrame:
     """token, set, n, pos, hot: the prefixes of all sets."""
 
     def run(batches):
@@ -129,7 +155,7 @@ def _lists(docs: DataFrame, common, k: int, num: int, den: int) -> DataFrame:
             seen, out = set(), []
             for _, sets in _sets(batch, k):
                 for s in sets:
-                    if not len(s) or (name := set_id(s)) in seen:
+                    if not len(s) or (name := named(s)) in seen:
                         continue
                     seen.add(name)
                     hot = common.value.has(s)
@@ -150,7 +176,7 @@ def _entries(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(name), pa.array(n), pa.array(pos), pa.array(hot)], ["token", "set", "n", "pos", "hot"])
 
 
-def _wanted(docs: DataFrame, pairs: DataFrame, profile: DataFrame, k: int) -> DataFrame:
+def _wanted(docs: DataFrame, pairs: DataFrame, profile: DataFrame, k: int, name: Names) -> DataFrame:
     """set, tokens (array) of all sets in ``pairs``, from the texts of one document each."""
     need = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     holders = profile.groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(need, "set").select(F.xxhash64("doc_id").alias("h"))
@@ -161,7 +187,7 @@ def _wanted(docs: DataFrame, pairs: DataFrame, profile: DataFrame, k: int) -> Da
             keep = cells.value.has(np.asarray(batch.column("h")))
             batch = batch.filter(pa.array(keep))
             for _, sets in _sets(batch, k):
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set", "tokens"])
 
     found = arrow_map(docs.withColumn("h", F.xxhash64("doc_id")), run, "set long, tokens array<long>")
     return found.join(need, "set", "left_semi").groupBy("set").agg(F.first("tokens").alias("tokens"))
@@ -225,15 +251,19 @@ def _settled(pairs: DataFrame, hubs: DataFrame, sets: DataFrame, parts: int, num
     return sure.union(found.where(_links(F.col("diff"), F.col("size"), num, den)).select("a", "b"))
 
 
-def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: int = DEN, row: str | None = None) -> DataFrame:
+def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: int = DEN, row: str | None = None, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links) of every row.
 
+    bits: of a set's first hash (``Names``).
     row: a binary column that tells rows apart where ids don't; it is returned too, with ``comp``, which is equal in a component and null for empty sets.
     """
     spark, parts = docs.sparkSession, parts_for(docs)
     key = F.col(row) if row else F.lit(None).cast("binary")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), key.alias("row"))
-    profile = written(_profile(docs, k), "profile")
+    profile = written(_profile(docs, k, Names(bits)), "profile")
+    name = Names(bits, _clashes(profile))
+    if name.clashes:
+        profile = profile.withColumn("set", F.when(F.col("set").isin(*name.clashes), F.col("other")).otherwise(F.col("set")))
     docs = docs.drop("row")
     rows = profile.where("token is null").select("doc_id", "row", "n", "set")
     sigs = profile.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -242,7 +272,7 @@ def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: i
     # An entry stays if its list has another set and the next size above or below allows a link; of a common element, all stay.
     each = Window.partitionBy("token", "salt").orderBy("n")
     whole = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    listed = _lists(docs, common, k, num, den).withColumn("salt", salt).withColumn("least", F.min("set").over(whole)).withColumn("most", F.max("set").over(whole))
+    listed = _lists(docs, common, k, num, den, name).withColumn("salt", salt).withColumn("least", F.min("set").over(whole)).withColumn("most", F.max("set").over(whole))
     listed = listed.withColumn("above", F.lead("n").over(each)).withColumn("below", F.lag("n").over(each))
     sized = (F.col("above") <= _top(num, den)) | (F.col("below").cast("long") * den >= F.col("n").cast("long") * num)
     listed = listed.where(F.col("hot") | ((F.col("least") != F.col("most")) & F.coalesce(sized, F.lit(False))))
@@ -256,7 +286,7 @@ def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: i
     nearest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m"))  # others wait for round two
     nearest = written(nearest.select(F.col("b").alias("set"), F.col("m.a").alias("hub")), "nearest", parts)
     tried = nearest.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
-    found = _differing(tried, _wanted(docs, tried, rows, k)).where(_links(F.col("diff"), F.col("size"), num, den))
+    found = _differing(tried, _wanted(docs, tried, rows, k, name)).where(_links(F.col("diff"), F.col("size"), num, den))
     found = written(found, "links", parts)
     links = found.select("a", "b")
     ends = found.select(F.col("a").alias("set"), F.col("b").alias("hub"), F.col("diff").alias("off")).union(found.select("b", "a", "diff"))
@@ -287,7 +317,7 @@ def join_components(docs: DataFrame, k: int = WORDS_EACH, num: int = NUM, den: i
         sets = [again.select("a", "b")]
         for side in "ab":  # the sets' hubs are verified too
             sets.append(again.select(F.col(side).alias("set")).join(hubs, "set").select(F.col("hub").alias("a"), F.col("hub").alias("b")))
-        sets = written(_wanted(docs, sets[0].union(sets[1]).union(sets[2]), rows, k), "sets")
+        sets = written(_wanted(docs, sets[0].union(sets[1]).union(sets[2]), rows, k, name), "sets")
         label = components(written(links.union(_settled(again, hubs, sets, parts, num, den)), "links", parts))
     live.unpersist()
     common.destroy()

@@ -95,13 +95,13 @@ def test_shingle_sets_match_python():
     assert (got[-1] == got[-2]).all() and jaccard.set_id(got[-1]) == jaccard.set_id(got[-2])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_join_components_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,bits", [(1, 64), (2, 64), (1, 6)])  # with 6 bits, most sets share their first hash with others
+def test_join_components_equal_brute_force(spark, seed, bits):
     texts = corpus(seed)
     ids = random.Random(seed).sample(range(10_000), len(texts))
     rows = [*zip(ids, texts, strict=True), (20_000, None), (20_001, ""), (20_002, " \n"), (20_003, texts[3]), (20_003, texts[3])]
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, set string").repartition(3)
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_components(docs).collect())
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_components(docs, bits=bits).collect())
     assert got == brute(rows)
     assert jaccard.join_components(docs.limit(0)).count() == 0
 
