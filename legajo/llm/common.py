@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 #: Bytes of text that one numpy step holds; a longer document makes a step of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: The same of a tokeniser's step, which encodes each different word of it once.
+TOKEN_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and a worker, where the session allows more.
 BATCH_BYTES = 1 << 24
 
@@ -144,12 +146,12 @@ def id_crc(name: str = "doc_id"):
 
 
 def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, at_end: Callable[[], None] = lambda: None) -> DataFrame:
-    """``fn`` over Arrow batches of ``columns``, cut into chunks of bounded text; ``text`` is never null there. at_end: called by each task."""
+    """A tokeniser's ``fn`` over Arrow batches of ``columns``, cut into chunks of ``TOKEN_BYTES``; ``text`` is never null there. at_end: called by each task."""
     want = df.select(*[text_or_empty().alias("text") if c == "text" else F.col(c) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, TOKEN_BYTES):
                 yield fn(part)
         at_end()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from legajo.llm.common import text_buffers
+from legajo.llm.common import CHUNK_BYTES, text_buffers
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 _P = 0x9E3779B97F4A7C15 | 1
@@ -16,7 +16,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 #: Powers that a worker remembers; what longer texts need goes with them.
-_MOST_POWERS = (1 << 20) + 1024
+_MOST_POWERS = CHUNK_BYTES + 1024
 
 
 def _powers(base: int, n: int) -> np.ndarray:
