@@ -158,11 +158,11 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
     return arrow_map(want, run, schema)
 
 
-def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, each with about ``limit`` bytes of text or a single row."""
+def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, each with about ``limit`` bytes of text (or of the column ``name``) or a single row."""
     if not batch.num_rows:
         return
-    ends = np.cumsum(np.diff(text_buffers(batch.column("text"))[1]))
+    ends = np.cumsum(np.diff(text_buffers(batch.column(name))[1]))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0

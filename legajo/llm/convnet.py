@@ -9,6 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 
+NAMES = ("table", "conv", "bias", "dense", "out")
+#: Ids whose filter values training holds at once.
+BLOCK = 1 << 16
+
 
 class ConvNet:
     def __init__(self, vocabulary: int, dim: int, widths: tuple[int, ...], filters: int, classes: int, seed: int = 7, zero: bool = False):
@@ -43,6 +47,24 @@ class ConvNet:
             out[owner[k] : last] = np.maximum(out[owner[k] : last], np.maximum.reduceat(value, cuts))
         return out + self.bias
 
+    def maxima(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Max over each sequence and where it was taken; ``starts`` end with the end of the last one. Long sequences go by blocks."""
+        best, where = [], []
+        if len(ids) <= BLOCK:
+            value = self.columns(ids) @ self.conv + self.bias
+            where = np.stack([a + value[a:b].argmax(0) for a, b in zip(starts[:-1], starts[1:], strict=True)])
+            return np.take_along_axis(value, where, 0), where
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            most, at = np.full(self.conv.shape[1], -np.inf, np.float32), np.zeros(self.conv.shape[1], np.int64)
+            for c in range(a, b, BLOCK):
+                value = self.columns(ids[c : min(b, c + BLOCK) + self.width - 1]) @ self.conv + self.bias
+                k = value.argmax(0)
+                found = value[k, np.arange(len(k))]
+                at, most = np.where(found > most, c + k, at), np.maximum(most, found)
+            best.append(most)
+            where.append(at)
+        return np.stack(best), np.stack(where)
+
     def probabilities(self, pooled: np.ndarray) -> np.ndarray:
         z = pooled @ self.dense + self.out
         z = np.exp(z - z.max(1, keepdims=True))
@@ -54,9 +76,7 @@ class ConvNet:
         parts = [np.concatenate([gap, s]) for s in sequences]
         starts = np.cumsum([0, *[len(p) for p in parts]])
         ids = np.concatenate([*parts, gap])
-        value = self.columns(ids) @ self.conv + self.bias
-        where = np.stack([starts[i] + value[starts[i] : starts[i + 1]].argmax(0) for i in range(len(parts))])
-        pooled = np.take_along_axis(value, where, 0)
+        pooled, where = self.maxima(ids, starts)
         grad = self.probabilities(pooled)
         grad[np.arange(len(parts)), labels] -= 1
         grad *= weights[:, None] / len(parts)
@@ -73,24 +93,54 @@ class ConvNet:
         """Adam on cross-entropy; the table's rows are updated where a maximum was taken."""
         rng = np.random.default_rng(seed)
         weights = np.ones(len(sequences), np.float32) if weights is None else weights.astype(np.float32)
-        names = ("table", "conv", "bias", "dense", "out")
-        first = {k: np.zeros_like(getattr(self, k)) for k in names}
-        second = {k: np.zeros_like(getattr(self, k)) for k in names}
-        step = 0
+        self.begin()
         for epoch in range(epochs):
             order = rng.permutation(len(sequences))
-            pace = rate * (1 - 0.9 * epoch / max(1, epochs))
             for a in range(0, len(order), batch):
-                rows, step = order[a : a + batch], step + 1
-                grads = self.gradients([sequences[i] for i in rows.tolist()], labels[rows], weights[rows])
-                touched, summed = grads.pop("table")
-                fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for k, g in grads.items():
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.001 * (g * g - second[k])
-                    w = getattr(self, k)
-                    w -= pace * fix * first[k] / (np.sqrt(second[k]) + 1e-8) + pace * decay * w
-                first["table"][touched] += 0.1 * (summed - first["table"][touched])
-                second["table"][touched] += 0.001 * (summed**2 - second["table"][touched])
-                self.table[touched] -= pace * fix * first["table"][touched] / (np.sqrt(second["table"][touched]) + 1e-8) + pace * decay * self.table[touched]
-                self.table[0] = 0
+                rows = order[a : a + batch]
+                self.learn([sequences[i] for i in rows.tolist()], labels[rows], weights[rows], pace(rate, epoch, epochs), decay)
+        self.end()
+
+    def begin(self) -> None:
+        """Adam's state, which ``learn`` reads and ``end`` drops."""
+        self.first = {k: np.zeros_like(getattr(self, k)) for k in NAMES}
+        self.second = {k: np.zeros_like(getattr(self, k)) for k in NAMES}
+        self.step = 0
+
+    def end(self) -> None:
+        del self.first, self.second, self.step
+
+    def learn(self, sequences: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pace: float, decay: float) -> None:
+        """One step."""
+        first, second = self.first, self.second
+        self.step += 1
+        grads = self.gradients(sequences, labels, weights)
+        touched, summed = grads.pop("table")
+        fix = np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+        for k, g in grads.items():
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.001 * (g * g - second[k])
+            w = getattr(self, k)
+            w -= pace * fix * first[k] / (np.sqrt(second[k]) + 1e-8) + pace * decay * w
+        first["table"][touched] += 0.1 * (summed - first["table"][touched])
+        second["table"][touched] += 0.001 * (summed**2 - second["table"][touched])
+        self.table[touched] -= pace * fix * first["table"][touched] / (np.sqrt(second["table"][touched]) + 1e-8) + pace * decay * self.table[touched]
+        self.table[0] = 0
+
+    def state(self) -> np.ndarray:
+        """Weights, Adam's state and steps in one vector, which ``put`` takes."""
+        parts = [x for k in NAMES for x in (getattr(self, k), self.first[k], self.second[k])]
+        return np.concatenate([x.reshape(-1) for x in parts] + [np.array([self.step], np.float32)])
+
+    def put(self, state: np.ndarray) -> None:
+        at = 0
+        for k in NAMES:
+            for x in (getattr(self, k), self.first[k], self.second[k]):
+                x[...] = state[at : at + x.size].reshape(x.shape)
+                at += x.size
+        self.step = round(float(state[at]))
+
+
+def pace(rate: float, epoch: int, epochs: int) -> float:
+    """Step size of an epoch: a straight line down."""
+    return rate * (1 - 0.9 * epoch / max(1, epochs))

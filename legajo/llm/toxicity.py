@@ -3,14 +3,17 @@
 Words (runs of ASCII letters, digits, apostrophes and non-ASCII characters, ASCII letters lower-cased) are hashed into a table of
 embeddings; filters over 1, 2 and 3 words, max pooling over the whole text and softmax follow, trained in numpy.
 The raw probability is mapped to the score so that 0.5 is the threshold calibrated for the text's language. The language of a text
-is learned too: sums of log odds of its words, counted by ``lang`` in the training sample (never read when scoring).
-
-Training takes a bounded sample of labelled rows and their whole texts: of each class the ``PER_CLASS`` documents with the lowest hash
-of the id, as long as their texts stay within ``CLASS_BYTES`` (a text of over ``ROW_BYTES`` trains nothing); of rows that share an id one
-counts. Four fifths train, one fifth calibrates. Words below ``MIN_DOCS`` and ``MIN_SHARE`` of the sampled documents keep
-the zero embedding, so unknown words are neutral; the others start from their log odds, which filters over single words alone would nearly
-keep (the README tells what the wider filters add). Only their rows of the table are kept and broadcast.
-The sample's ids are bounded by ``PER_CLASS``, which bounds their broadcast; scoring is one map over all whole texts, free style (mapInArrow).
+is learned too: sums of log odds of its words, counted by ``lang`` in the rows that train (never read when scoring).
+
+Training takes every row with a text whose id has a label, and its whole text; repeated rows train as often as they occur. By a hash of the
+id four fifths train and one fifth calibrates. The rows are stored by shards, drawn by a hash of id and text, of about ``SHARD_ROWS`` rows (more where a
+class is rare), in an order of their own. In each epoch every shard takes its steps from the same weights, in one stream that holds a
+few MB, and the weights (and Adam's state) of the shards are averaged by their rows; with a single shard this is plain training. Words in fewer than
+``MIN_DOCS`` rows that train, or in less than ``MIN_SHARE`` of them, keep the zero embedding, so unknown words are neutral; the others start from
+their log odds, which filters over single words alone would nearly keep (the README tells what the wider filters add).
+Only their rows of the table are kept and broadcast: less than 1 / ``MIN_SHARE`` times the different words of a mean text.
+Thresholds come from counts of all calibrating rows by probability, told apart in steps of 1 / ``STEPS`` of its log odds, which bounds what the driver gets.
+The ids of labelled rows are looked for by a bitmap of fixed size before texts are tokenised, and joined then; scoring is one map over all whole texts, free style (mapInArrow).
 Null and empty texts get the score of a text without words. A document with contradicting labels trains as toxic; without any
 label of either class all scores are 0. Of languages that tie for a text the first in code-point order counts, a text at its threshold scores 0.5.
 Repeated rows repeat, other columns are ignored, an empty table stays empty.
@@ -18,23 +21,33 @@ Repeated rows repeat, other columns are ignored, an empty table stays empty.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import arrow_map, chunks, drop_scratch, give_back, id_crc, low_marks, mark_of, sampled, text_or_empty, written
-from legajo.llm.convnet import ConvNet
+from legajo.llm.common import arrow_map, bitmap_of, chunks, drop_scratch, give_back, id_crc, mark_of, text_buffers, text_or_empty, written
+from legajo.llm.convnet import ConvNet, pace
 from legajo.llm.words import Words
 
 BITS, DIM, WIDTHS, FILTERS = 20, 4, (1, 2, 3), 8
-PER_CLASS, CLASS_BYTES, ROW_BYTES, EPOCHS = 3000, 1 << 25, 1 << 21, 12
-#: A word trains an embedding if it stands in this many sampled documents and in this share of them.
+EPOCHS, RATE, BATCH, DECAY = 12, 0.02, 32, 0.3
+#: Rows of a shard, and how many of the rarer class it should have at least.
+SHARD_ROWS, SHARD_CLASS = 4096, 200
+#: Bytes of ids that are put in a new order at once, and floats that are averaged at once.
+BUFFER_BYTES, PIECE = 1 << 21, 1 << 14
+#: Cells of the bitmap of labelled ids.
+LABEL_BITS = 24
+#: A word trains an embedding if it stands in this many of the rows that train and in this share of them.
 MIN_DOCS, MIN_SHARE = 3, 1 / 1000
 #: Raw probability that counts as toxic where too few rows are left to calibrate by.
 FEW_ROWS_THRESHOLD = 0.9
-#: Sampled documents that a language needs for odds of its own.
-LANG_DOCS = 30
+#: Rows that train, and their share, that a language needs for odds of its own.
+LANG_DOCS, LANG_SHARE = 30, 1 / 200
+#: Steps of the log odds by which calibrating rows are counted.
+STEPS = 1024
 _BREAKS = ~np.array([chr(b).isalnum() and b < 128 or b >= 128 or b == 39 for b in range(256)])
 
 
@@ -84,14 +97,16 @@ class Model:
         return np.clip(np.where(p < t, 0.5 * p / t, 0.5 + 0.5 * (p - t) / (1 - t)), 0, 1)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray, fallback: float) -> float:
-    """The threshold with most of (caught toxic share - 3 x flagged clean share), midway in its gap; fallback with few of a class."""
-    if y.sum() < 15 or (1 - y).sum() < 15:
+def best_threshold(p: np.ndarray, clean: np.ndarray, toxic: np.ndarray, fallback: float) -> float:
+    """The threshold with most of (caught toxic share - 3 x flagged clean share), midway in its gap; fallback with few of a class.
+
+    p: ascending probabilities; clean, toxic: how many rows have each.
+    """
+    if toxic.sum() < 15 or clean.sum() < 15:
         return fallback
-    cuts = np.unique(p)
-    cuts = np.concatenate([cuts[:1] / 2, (cuts[1:] + cuts[:-1]) / 2, [(1 + cuts[-1]) / 2]])
-    pos, neg = np.sort(p[y == 1]), np.sort(p[y == 0])
-    gain = 1 - np.searchsorted(pos, cuts) / len(pos) - 3 * (1 - np.searchsorted(neg, cuts) / len(neg))
+    cuts = np.concatenate([p[:1] / 2, (p[1:] + p[:-1]) / 2, [(1 + p[-1]) / 2]])
+    caught, flagged = (np.concatenate([x[::-1].cumsum()[::-1], [0]]) / x.sum() for x in (toxic, clean))
+    gain = caught - 3 * flagged
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     return float(np.clip(cuts[best].mean(), 0.02, 0.98))
 
@@ -104,10 +119,12 @@ def document_counts(sequences: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def log_odds(sequences: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
-    """Start of the embeddings: log odds of documents of class 1 with the word, less two standard errors; 0 for the padding."""
-    k0, k1 = (document_counts([x for x, c in zip(sequences, y, strict=True) if c == k], size) for k in (0, 1))
-    odds = np.log((k1 + 0.5) / (y.sum() + 1)) - np.log((k0 + 0.5) / ((1 - y).sum() + 1))
+def log_odds(k0: np.ndarray, k1: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Start of the embeddings: log odds of documents of class 1 with the word, less two standard errors; 0 for the padding.
+
+    k0, k1: documents of each class with the word, of n0 and n1.
+    """
+    odds = np.log((k1 + 0.5) / (n1 + 1)) - np.log((k0 + 0.5) / (n0 + 1))
     odds = np.sign(odds) * np.maximum(0, np.abs(odds) - 2 * np.sqrt(1 / (k1 + 0.5) + 1 / (k0 + 0.5)))
     odds[k0 + k1 == 0] = 0
     odds[0] = 0
@@ -115,77 +132,224 @@ def log_odds(sequences: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarra
 
 
 def language_odds(sequences: list[np.ndarray], langs: list, size: int) -> np.ndarray:
-    """(size, languages): log share of a language's documents that hold the word, less the mean over languages."""
+    """``share_odds`` of the languages of ``LANG_DOCS`` sequences at least, in code-point order."""
     names = sorted({x for x in langs if x is not None and langs.count(x) >= LANG_DOCS})
-    if not names:
-        return np.zeros((size, 0), np.float32)
     counts = [document_counts([s for s, x in zip(sequences, langs, strict=True) if x == name], size) for name in names]
-    logs = np.stack([np.log((c + 0.5) / (langs.count(name) + 1)) for c, name in zip(counts, names, strict=True)], 1)
+    return share_odds(np.array(counts).reshape(len(names), size), np.array([langs.count(x) for x in names]))
+
+
+def share_odds(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """(size, languages): log share of a language's documents that hold the word, less the mean over languages."""
+    if not len(counts):
+        return np.zeros((counts.shape[1], 0), np.float32)
+    logs = np.log((counts.T + 0.5) / (totals + 1))
     odds = logs - logs.mean(1, keepdims=True)
     odds[0] = 0
     return odds.astype(np.float32)
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, allowed=None) -> pa.Table:
-    """doc_id, label, lang and ids (bucket of each word, 32-bit) of the sampled documents."""
+def labelled(docs: DataFrame, labels: DataFrame, allowed=None) -> DataFrame | None:
+    """Written: shard, mark, label, lang and ids (bucket of each word, 32-bit) of every row with a text whose id has a label; None without labels of both classes."""
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    marked = (marked.where(allowed) if allowed is not None else marked).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    ids = low_marks(marked.withColumn("mark", mark_of("doc_id", 9)), "label", PER_CLASS)
+    marked = (marked.where(allowed) if allowed is not None else marked).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
+    marked = written(marked, "labels")
+    counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return None
+    shards = max(1, min(-(-sum(counts.values()) // SHARD_ROWS), min(counts.values()) // SHARD_CLASS))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(marked.select(mark_of("doc_id", 9).alias("mark")), "mark", LABEL_BITS))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.struct(F.xxhash64("text").alias("h"), "text", lang.alias("lang")).alias("row"))
-    # about 1.25 * PER_CLASS ids of each of two classes
-    one = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label", "mark").agg(F.min("row").alias("row"))
-    one = one.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "mark", "row.lang", F.octet_length("row.text").cast("long").alias("n"), "row.text")
+    texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.xxhash64("text").alias("h"), "text")
 
     def run(batches):
-        for batch in (p for b in batches for p in chunks(b)):
-            words = Words(batch.column("text"), True, _BREAKS)
-            found = word_ids(words).astype(np.int32)
-            cells = [found[a:b].tobytes() for a, b in zip(words.rows[:-1].tolist(), words.rows[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "label", "mark", "lang", "n")] + [pa.array(cells, pa.binary())], ["doc_id", "label", "mark", "lang", "n", "ids"])
-
-    kept = written(arrow_map(one, run, "doc_id long, label int, mark long, lang string, n long, ids binary"), "sample")
-    out = sampled(kept, "label", PER_CLASS, CLASS_BYTES, ROW_BYTES)
-    drop_scratch(kept)
+        for batch in batches:
+            batch = batch.filter(pa.array(shared.value.has(batch.column("mark").to_numpy())))
+            for part in chunks(batch):
+                words = Words(part.column("text"), True, _BREAKS)
+                found = word_ids(words).astype(np.int32)
+                cells = [found[a:b].tobytes() for a, b in zip(words.rows[:-1].tolist(), words.rows[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "mark", "lang", "h")] + [pa.array(cells, pa.binary())], ["doc_id", "mark", "lang", "h", "ids"])
+
+    rows = arrow_map(texts.withColumn("mark", mark_of("doc_id", 9)), run, "doc_id long, mark long, lang string, h long, ids binary").join(marked, "doc_id")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "h"), F.lit(shards)).cast("int"))
+    out = written(rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "mark", "doc_id", "h", "lang").select("shard", "mark", "label", "lang", "ids"), "labelled")
+    drop_scratch(marked)
+    shared.destroy()
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed=None) -> Model | None:
     """Model from the labelled documents that meet ``allowed``, a condition on doc_id; None without both classes."""
-    model = fitted(sample_of(docs, labels, allowed))
+    rows = labelled(docs, labels, allowed)
+    model = None if rows is None else fitted(rows)
+    if rows is not None:
+        drop_scratch(rows)
     give_back()
     return model
 
 
-def fitted(sample: pa.Table, widths: tuple[int, ...] = WIDTHS) -> Model | None:
-    sample = sample.sort_by("doc_id")
-    y = sample.column("label").to_numpy().astype(int)
-    if len(y) == 0 or y.min() == y.max():
+def fitted(rows: DataFrame, widths: tuple[int, ...] = WIDTHS) -> Model | None:
+    """Model from all rows that ``labelled`` gave."""
+    sc = rows.sparkSession.sparkContext
+    calibrates = F.pmod("mark", F.lit(5)) == 0
+    counts = {(r["label"], r["c"]): r["count"] for r in rows.groupBy("label", calibrates.alias("c")).count().collect()}
+    if len({label for label, _ in counts}) < 2:
         return None
-    found = [np.frombuffer(x.as_buffer(), np.int32) for x in sample.column("ids")]
-    calibrates = np.random.default_rng(3).permutation(len(y)) % 5 == 0
-    calibrates &= len(y) >= 50
-    held = calibrates if calibrates.any() else np.ones(len(y), bool)
-    often = document_counts([x for x, c in zip(found, calibrates, strict=True) if not c], (1 << BITS) + 1)
-    buckets = np.flatnonzero(often >= max(MIN_DOCS, MIN_SHARE * (~calibrates).sum()))
-    buckets, size = buckets[buckets > 0], int((buckets > 0).sum()) + 1
+    split = sum(counts.values()) >= 50
+    learn, held = (rows.where(~calibrates), rows.where(calibrates)) if split else (rows, rows)
+    of = np.array([sum(n for (label, c), n in counts.items() if label == k and not (split and c)) for k in (0, 1)])
+    langs = {r["lang"]: r["count"] for r in learn.where("lang is not null").groupBy("lang").count().where(F.col("count") >= max(LANG_DOCS, LANG_SHARE * of.sum())).collect()}
+    names = sorted(langs)
+    buckets, groups = word_counts(learn, names, max(MIN_DOCS, MIN_SHARE * of.sum()))
+    size = len(buckets) + 1
     net = ConvNet(size, DIM, widths, FILTERS, 2, seed=9, zero=True)
-    model = Model(buckets, net, np.zeros((size, 0), np.float32), np.array([0.5]))
-    found = [model.known(x) for x in found]
-    learn, yl = [x for x, c in zip(found, calibrates, strict=True) if not c], y[~calibrates]
-    net.table[:, 0] = 0.3 * log_odds(learn, yl, size)
-    net.fit(learn, yl, EPOCHS, rate=0.02, batch=32, decay=0.3, weights=len(yl) / 2 / np.maximum(np.bincount(yl, minlength=2), 1)[yl])
-    langs = sample.column("lang").to_pylist()
-    model.odds = language_odds(learn, [x for x, c in zip(langs, calibrates, strict=True) if not c], size)
-    found, y = [x for x, c in zip(found, held, strict=True) if c], y[held]
-    rows = np.cumsum([0, *map(len, found)])
-    ids = np.concatenate(found)
-    p, group = model.raw(ids, rows), model.groups(ids, rows)
-    shared = best_threshold(p, y, FEW_ROWS_THRESHOLD)
-    model.thresholds = np.array([best_threshold(p[group == g], y[group == g], shared) for g in range(model.odds.shape[1] + 1)])
+    by = groups.reshape(len(names) + 1, 2, size)
+    net.table[:, 0] = 0.3 * log_odds(by[:, 0].sum(0), by[:, 1].sum(0), *of)
+    model = Model(buckets, net, share_odds(by[:-1].sum(1), np.array([langs[x] for x in names])), np.array([0.5]))
+    net.begin()
+    weights = (of.sum() / 2 / np.maximum(of, 1)).astype(np.float32)
+    for epoch in range(EPOCHS):
+        shared = sc.broadcast(model)
+        net.put(averaged(epoch_of(learn, shared, weights, epoch), len(net.state())))
+        shared.destroy()
+    net.end()
+    shared = sc.broadcast(model)
+    group, p, clean, toxic = probabilities(held, shared)
+    shared.destroy()
+    each = np.unique(p, return_inverse=True)[1]
+    fallback = best_threshold(np.unique(p), np.bincount(each, clean), np.bincount(each, toxic), FEW_ROWS_THRESHOLD)
+    model.thresholds = np.array([best_threshold(p[group == g], clean[group == g], toxic[group == g], fallback) for g in range(len(names) + 1)])
     return model
 
 
+def word_counts(rows: DataFrame, langs: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that ``least`` rows hold, and how many rows of each language (last: of others) and class do: (2 * languages + 2, buckets + 1)."""
+    at = {x: 2 * i for i, x in enumerate(langs)}
+
+    def run(batches):
+        keys, counts, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        for part in (p for b in batches for p in chunks(b, name="ids")):
+            ids, ends = id_rows(part)
+            group = np.array([at.get(x, 2 * len(langs)) for x in part.column("lang").to_pylist()]) + part.column("label").to_numpy()
+            once = np.unique(np.repeat(np.arange(part.num_rows), np.diff(ends)) << 21 | ids)
+            waiting.append(group[once >> 21] << 21 | once & (1 << 21) - 1)
+            if sum(map(len, waiting)) > 1 << 20:
+                keys, counts = merged(keys, counts, waiting)
+                waiting = []
+        keys, counts = merged(keys, counts, waiting)
+        for a in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_pydict({"k": pa.array(keys[a : a + (1 << 16)]), "n": pa.array(counts[a : a + (1 << 16)])})
+
+    low = F.lit((1 << 21) - 1)
+    found = arrow_map(rows.select("lang", "label", "ids"), run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    found = found.groupBy(F.col("k").bitwiseAND(low).cast("int").alias("bucket")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("k", "n")).alias("each")).where((F.col("total") >= least) & (F.col("bucket") > 0))
+    got = found.select("bucket", F.explode("each").alias("e")).select("bucket", F.shiftright("e.k", 21).cast("int").alias("g"), "e.n").toArrow()
+    buckets, place = np.unique(got.column("bucket").to_numpy().astype(np.int64), return_inverse=True)
+    out = np.zeros((2 * len(langs) + 2, len(buckets) + 1), np.int64)
+    out[got.column("g").to_numpy(), place + 1] = got.column("n").to_numpy()
+    return buckets, out
+
+
+def merged(keys: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their counts, with one more for each of ``more``."""
+    fresh = np.concatenate([np.zeros(0, np.int64), *more])
+    found, place = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
+    return found, np.bincount(place, np.concatenate([counts, np.ones(len(fresh), np.int64)]), len(found)).astype(np.int64)
+
+
+def id_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows, one after the other, and the offsets of the rows."""
+    data, ends = text_buffers(batch.column("ids"))
+    return np.frombuffer(data.tobytes(), np.int32), ends // 4
+
+
+def buffers(batches):
+    """(shard, first mark, ids of each row, labels) of runs of rows of a shard with about ``BUFFER_BYTES``, whatever the batches are."""
+    key, found, y, size = (), [], [], 0
+    for part in (p for b in batches for p in chunks(b, name="ids")):
+        ids, ends = id_rows(part)
+        for i, (shard, mark, label) in enumerate(zip(*(part.column(c).to_pylist() for c in ("shard", "mark", "label")), strict=True)):
+            if found and (shard != key[0] or size >= BUFFER_BYTES):
+                yield *key, found, np.array(y)
+                found, y, size = [], [], 0
+            if not found:
+                key = (shard, mark)
+            found.append(ids[ends[i] : ends[i + 1]])
+            y.append(label)
+            size += 4 * len(found[-1])
+    if found:
+        yield *key, found, np.array(y)
+
+
+def epoch_of(rows: DataFrame, shared, weights: np.ndarray, epoch: int) -> DataFrame:
+    """The state of the network after the steps of each shard: piece, shard, at, docs, values."""
+
+    def run(batches):
+        last, begun = None, 0
+        for shard, mark, found, y in buffers(batches):
+            if shard != last:
+                if last is not None:
+                    yield pieces(net.state(), last, first, docs)
+                model, last, first, docs, begun = copy.deepcopy(shared.value), shard, mark, 0, 0
+                net = model.net
+            found = [model.known(x) for x in found]
+            order = np.random.default_rng([11, epoch, shard, begun]).permutation(len(y))
+            for a in range(0, len(order), BATCH):
+                part = order[a : a + BATCH]
+                net.learn([found[i] for i in part.tolist()], y[part], weights[y[part]], pace(RATE, epoch, EPOCHS), DECAY)
+            docs, begun = docs + len(y), begun + 1
+        if last is not None:
+            yield pieces(net.state(), last, first, docs)
+
+    return arrow_map(rows.select("shard", "mark", "label", "ids"), run, "piece int, shard int, at long, docs long, values binary")
+
+
+def pieces(state: np.ndarray, shard: int, at: int, docs: int) -> pa.RecordBatch:
+    cells = [state[a : a + PIECE].tobytes() for a in range(0, len(state), PIECE)]
+    n = len(cells)
+    return pa.RecordBatch.from_pydict({"piece": pa.array(range(n), pa.int32()), "shard": pa.array([shard] * n, pa.int32()), "at": pa.array([at] * n, pa.int64()), "docs": pa.array([docs] * n, pa.int64()), "values": pa.array(cells, pa.binary())})
+
+
+def averaged(parts: DataFrame, size: int) -> np.ndarray:
+    """Mean state by rows, added up in the order of the shards."""
+
+    def run(batches):
+        last, total, docs = None, None, 0
+        for batch in batches:
+            for piece, n, cell in zip(*(batch.column(c).to_pylist() for c in ("piece", "docs", "values")), strict=True):
+                if piece != last:
+                    if last is not None:
+                        yield mean(last, total, docs)
+                    last, total, docs = piece, 0.0, 0
+                total, docs = total + n * np.frombuffer(cell, np.float32).astype(float), docs + n
+        if last is not None:
+            yield mean(last, total, docs)
+
+    def mean(piece, total, docs):
+        return pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "values": pa.array([(total / docs).astype(np.float32).tobytes()], pa.binary())})
+
+    tasks = min(-(-size // PIECE), parts.sparkSession.sparkContext.defaultParallelism)
+    got = arrow_map(parts.repartitionById(tasks, F.col("piece") % tasks).sortWithinPartitions("piece", "shard", "at"), run, "piece int, values binary").toArrow().sort_by("piece")
+    return np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in got.column("values")])
+
+
+def probabilities(rows: DataFrame, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Group of a text, probability (ascending within a group), and how many clean and toxic rows have both."""
+
+    def run(batches):
+        model = shared.value
+        for part in (p for b in batches for p in chunks(b, name="ids")):
+            ids, ends = id_rows(part)
+            ids = model.known(ids)
+            p = np.clip(model.raw(ids, ends), 1e-9, 1 - 1e-9)
+            step = np.rint(STEPS * np.log(p / (1 - p))).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"g": pa.array(model.groups(ids, ends), pa.int64()), "step": pa.array(step), "label": part.column("label")})
+
+    found = arrow_map(rows.select("label", "ids"), run, "g long, step long, label int").groupBy("g", "step").agg(F.count_if(F.col("label") == 0).alias("clean"), F.sum("label").alias("toxic")).toArrow().sort_by([("g", "ascending"), ("step", "ascending")])
+    g, step, clean, toxic = (found.column(c).to_numpy() for c in ("g", "step", "clean", "toxic"))
+    return g, 1 / (1 + np.exp(-step / STEPS)), clean, toxic
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score, predicted of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

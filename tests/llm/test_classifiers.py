@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from legajo.llm import langid, toxicity
+from legajo.llm import convnet, langid, toxicity
 from legajo.llm.common import low_marks, mark_of, sampled
 from legajo.llm.convnet import ConvNet
 from legajo.llm.words import Words
@@ -171,3 +171,58 @@ def test_scores_do_not_depend_on_neighbours(spark):
     together = toxicity.scores_of(model, column)
     alone = [toxicity.scores_of(model, column.slice(i, 1))[0] for i in range(len(column))]
     assert np.allclose(together, alone, atol=1e-6)
+
+
+def test_every_labelled_row_trains(spark):
+    """The toxic half with the higher marks has a word of its own; a sample of the 3,000 lowest never saw it."""
+    r = random.Random(6)
+    plain = [f"w{i}" for i in range(30)]
+    marks = {x.doc_id: x.mark for x in spark.range(7000).select(F.col("id").alias("doc_id"), mark_of("id", 9).alias("mark")).collect()}
+    middle = sorted(marks.values())[3500]
+    rows = [(i, " ".join(r.choice(plain) for _ in range(8)) + (" zorch" if m > middle else " blarg"), 1) for i, m in marks.items()]
+    rows += [(10_000 + i, " ".join(r.choice(plain) for _ in range(9)), 0) for i in range(700)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t, _ in rows] + [(1, rows[1][1], "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows] + [(50_000, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    calm, blarg, zorch = toxicity.scores_of(model, pa.array(["w1 w2 w3 w4 w5", "w1 w2 blarg w3 w4", "w1 w2 zorch w3 w4"]))
+    assert calm < 0.5 <= min(blarg, zorch)
+    stored = toxicity.labelled(docs, labels)
+    assert stored.count() == len(rows) + 1 and stored.select("shard").distinct().count() == 2
+    again = toxicity.train(docs.repartition(7), labels)
+    assert np.array_equal(again.net.table, model.net.table) and np.array_equal(again.thresholds, model.thresholds)
+
+
+def test_a_text_of_megabytes_trains(spark):
+    docs = spark.createDataFrame([(i, "calm day " * 5 + "zorch" * (i % 2), "en") for i in range(60)] + [(99, "dull " * 430_000 + "zorch", "en")], "doc_id long, text string, lang string")
+    stored = toxicity.labelled(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic"))
+    assert stored.selectExpr("max(octet_length(ids)) / 4").first()[0] == 430_001 and stored.count() == 61
+
+
+def test_word_counts_equal_brute_force(spark):
+    rows = list(texts(200, 8))
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows], "doc_id long, text string, lang string")
+    stored = toxicity.labelled(docs, spark.createDataFrame([(i, x) for i, _, _, x in rows], "doc_id long, toxic int"))
+    names = ["de", "en"]
+    buckets, got = toxicity.word_counts(stored, names, 3)
+    want = np.zeros((6, (1 << toxicity.BITS) + 1), np.int64)
+    for _, t, lang, toxic in rows:
+        group = 2 * (names.index(lang) if lang in names else 2) + toxic
+        want[group, np.unique(toxicity.word_ids(Words(pa.array([t]), True, toxicity._BREAKS)))] += 1
+    assert np.array_equal(buckets, np.flatnonzero(want.sum(0) >= 3)) and np.array_equal(got[:, 1:], want[:, buckets])
+
+
+def test_long_sequences_go_by_blocks(monkeypatch):
+    net, r = small_net(), np.random.default_rng(9)
+    sequences, y = [r.integers(1, 12, n) for n in (5, 90, 31)], np.array([0, 2, 1])
+    whole = net.gradients(sequences, y, np.ones(3, np.float32))
+    monkeypatch.setattr(convnet, "BLOCK", 16)
+    cut = net.gradients(sequences, y, np.ones(3, np.float32))
+    assert np.array_equal(whole["table"][0], cut["table"][0]) and np.allclose(whole["table"][1], cut["table"][1])
+    assert all(np.allclose(whole[k], cut[k], atol=1e-6) for k in ("conv", "bias", "dense", "out"))
+
+
+def test_thresholds_of_counted_probabilities():
+    p = np.array([0.1, 0.4, 0.7, 0.9])
+    assert np.isclose(toxicity.best_threshold(p, np.array([30, 1, 0, 0]), np.array([1, 0, 10, 9]), 0.9), 0.55)
+    assert toxicity.best_threshold(p, np.array([30, 1, 0, 0]), np.array([0, 0, 5, 9]), 0.9) == 0.9
+    assert toxicity.best_threshold(p[:0], np.zeros(0), np.zeros(0), 0.8) == 0.8
