@@ -26,7 +26,7 @@ CHUNK_BYTES = 1 << 19
 #: The same of a tokeniser's step, which encodes each different word of it once.
 TOKEN_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and a worker, where the session allows more.
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from legajo.llm.common import bitmap_of, chunks, kept, parts_for, shared_dir, text_buffers, written
+from legajo.llm.common import arrow_map, bitmap_of, chunks, kept, parts_for, shared_dir, text_buffers, written
 from legajo.llm.words import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,3 +61,15 @@ def test_bitmap_and_tables(spark):
     held = kept(df)
     assert held.count() == len(values)
     held.unpersist()
+
+
+def test_batches_between_jvm_and_workers_are_small(spark):
+    """A worker and the JVM hold several batches at once, two tasks an executor: of 16 MB each they took it near its limit."""
+    df = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("abcdefgh"), 512).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([b.nbytes], pa.int64()), "n": pa.array([b.num_rows], pa.int64())})
+
+    got = arrow_map(df, run, "bytes long, n long").collect()
+    assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < 5 << 20
