@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import arrow_map, bitmap_of, chunks, drop_scratch, give_back, id_crc, mark_of, text_buffers, text_or_empty, written
+from legajo.llm.common import arrow_map, bitmap_of, chunks, drop_scratch, give_back, id_crc, mark_of, parts_for, text_buffers, text_or_empty, written
 from legajo.llm.convnet import ConvNet, pace
 from legajo.llm.words import Words
 
@@ -152,7 +152,7 @@ def labelled(docs: DataFrame, labels: DataFrame, allowed=None) -> DataFrame | No
     """Written: shard, mark, label, lang and ids (bucket of each word, 32-bit) of every row with a text whose id has a label; None without labels of both classes."""
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     marked = (marked.where(allowed) if allowed is not None else marked).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
-    marked = written(marked, "labels")
+    marked = written(marked, "labels", parts_for(labels))
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
